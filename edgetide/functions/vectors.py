@@ -41,7 +41,7 @@ def cosine(left, right) -> Column:
     norm = F.sqrt(sum_of(F.transform(left, lambda a: a.cast("double") * a))) * F.sqrt(
         sum_of(F.transform(right, lambda b: b.cast("double") * b))
     )
-    return dot / norm
+    return F.try_divide(dot, norm)
 
 
 def scale(vector, factor) -> Column:

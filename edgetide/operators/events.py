@@ -129,8 +129,9 @@ def every_nth(edges: DataFrame, n: int = 10) -> DataFrame:
     return edges.where(F.pmod(F.col("idx") - 1, F.lit(n)) == 0)
 
 
-def half_edges(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge: ``node, neighbor, ts_us, idx``."""
+def half_edges(edges: DataFrame, *keep: str) -> DataFrame:
+    """Both directions of every edge: ``node, neighbor, ts_us, idx`` and the columns to ``keep``."""
     forth = F.struct(F.col("u").alias("node"), F.col("i").alias("neighbor"))
     back = F.struct(F.col("i").alias("node"), F.col("u").alias("neighbor"))
-    return edges.select(F.explode(F.array(forth, back)).alias("_h"), "ts_us", "idx").select("_h.*", "ts_us", "idx")
+    both = F.explode(F.array(forth, back)).alias("_h")
+    return edges.select(both, "ts_us", "idx", *keep).select("_h.*", "ts_us", "idx", *keep)
