@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgetide.plans.ordered import running_totals
+from edgetide.plans.ordered import last_at_or_before, last_before, next_row, running_totals
 from edgetide.schema import BATCH
 
 
@@ -67,20 +67,18 @@ def miscoverage(scored: DataFrame, threshold) -> DataFrame:
 
 
 class AdaptiveLevel:
-    """The miscoverage level that moves with every full batch, and its threshold on sorted calibration errors.
+    """The miscoverage level that moves with every full batch.
 
-    ``grid`` holds the calibration errors in order. The small state is (level, errors of the open batch).
+    A threshold at level a is the calibration quantile at rank ``position(a)``; None stands for a threshold
+    just above the largest calibration error.
     """
 
-    def __init__(self, grid: np.ndarray, alpha: float, rate: float = 0.005, batch: int = BATCH):
-        self.grid, self.alpha, self.rate, self.batch = np.asarray(grid, dtype=float), alpha, rate, batch
+    def __init__(self, n: int, alpha: float, rate: float = 0.005, batch: int = BATCH):
+        self.n, self.alpha, self.rate, self.batch = n, alpha, rate, batch
 
-    def threshold(self, level: float) -> float:
-        n = len(self.grid)
-        q = int((1 - level) * (n + 1))
-        if q >= n:
-            return float(self.grid[-1]) + 1e-6
-        return float(np.quantile(self.grid, max(q, 0) / n))
+    def position(self, level: float) -> float | None:
+        q = max(int((1 - level) * (self.n + 1)), 0)
+        return None if q >= self.n else q / self.n * (self.n - 1)
 
     def follow(self, level: float, missed: float) -> float:
         if missed > self.alpha:
@@ -88,21 +86,12 @@ class AdaptiveLevel:
         return level + self.rate * level
 
 
-def calibration_grid(calibration: DataFrame, size: int = 100_000) -> list[float]:
-    """Calibration errors in order, for use inside tasks.
-
-    Bounded: with more than ``size`` errors the exact order statistics at ``size`` evenly spaced ranks stand
-    for them, which moves a threshold by less than one such rank.
-    """
+def _calibration_ranks(calibration: DataFrame) -> DataFrame:
+    """Distinct errors with the rank (from 0) of their first and last occurrence and the next larger error."""
     counted = _errors(calibration).groupBy("_error").agg(F.count("*").alias("_c"))
     ranked = running_totals(counted, [], ["_error"], {"_cum": F.col("_c")})
-    n = ranked.agg(F.max("_cum")).scalar()
-    step = F.greatest(F.ceil(F.col("_n") / size), F.lit(1))
-    # rank r is kept when r is a multiple of step; a run of equal errors may cover several kept ranks
-    kept = F.floor(F.col("_cum") / step) - F.floor((F.col("_cum") - F.col("_c")) / step)
-    spread = ranked.withColumn("_n", n).withColumn("_kept", kept).where("_kept > 0")
-    rows = spread.select("_error", "_kept").collect()  # at most ``size`` ranks
-    return sorted(e for r in rows for e in [r["_error"]] * int(r["_kept"]))
+    ranked = next_row(ranked, [], ["_error"], {"_next": "_error"})
+    return ranked.select("_error", "_next", (F.col("_cum") - F.col("_c")).alias("_low"), (F.col("_cum") - 1).alias("_high"))
 
 
 def adaptive_conformal(
@@ -111,31 +100,53 @@ def adaptive_conformal(
 ) -> DataFrame:
     """Per batch of ``test`` (dense ``idx`` from 1 inside each stream ``key``): level, threshold, miscoverage.
 
-    The level of a batch depends on the batch before it, so a stream is a chain. What is chained is one row
-    per batch with its errors, read through an iterator: a task holds one chunk of batches at a time.
+    The level of a batch depends on the batch before it, so each stream is a chain, but the chain needs no
+    calibration errors: every test error is first given its fractional rank among them (by joins), and an
+    error exceeds the threshold at rank p exactly when its own rank exceeds p. What is chained is one row per
+    batch, read through an iterator, and thresholds are looked up afterwards.
     """
-    grid = calibration_grid(calibration)
-    rule = AdaptiveLevel(np.array(grid), alpha, rate, batch)
+    ranks = _calibration_ranks(calibration).checkpoint()
+    facts = ranks.agg(F.max("_high").alias("h"), F.max("_error").alias("top")).first()  # two numbers
+    n, top = int(facts["h"]) + 1, float(facts["top"])
+    rule = AdaptiveLevel(n, alpha, rate, batch)
     number = ((F.col("idx") - 1 - F.pmod(F.col("idx") - 1, F.lit(batch))) / F.lit(batch)).cast("long")
     stream = F.col(key).cast("string") if key else F.lit("all")
-    rows = _errors(test).groupBy(stream.alias("stream"), number.alias("batch")).agg(
-        F.collect_list("_error").alias("errors")  # at most ``batch`` values
+    rows = _errors(test).select(stream.alias("stream"), number.alias("batch"), F.col("_error").alias("at"))
+    # equal errors must not see themselves, so a calibration error becomes visible just after its value
+    marks = ranks.select(F.col("_error").alias("at"), F.col("_error").alias("below"), "_next", "_high")
+    placed = last_before(marks, rows, [], "at", ["below", "_next", "_high"], 1)
+    hit = F.get("recent", F.lit(0))
+    step = F.try_divide(F.col("at") - hit["below"], hit["_next"] - hit["below"])
+    own = (
+        F.when(hit.isNull(), F.lit(0.0)).when(hit["_next"].isNull(), F.lit(float("inf"))).otherwise(hit["_high"] + step)
     )
-    ordered = rows.repartition("stream").sortWithinPartitions("stream", "batch")
+    ranked = rows.join(placed.select("at", own.alias("rank")), "at")
+    batches = ranked.groupBy("stream", "batch").agg(
+        F.collect_list("rank").alias("ranks"),  # at most ``batch`` values
+        F.sum((F.col("at") > F.lit(top + 1e-6)).cast("long")).alias("beyond"),
+    )
+    ordered = batches.repartition("stream").sortWithinPartitions("stream", "batch")
 
     def chain(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, level = None, alpha
         for chunk in chunks:
             out = []
-            for name, number_, errors in zip(chunk["stream"], chunk["batch"], chunk["errors"]):
+            for name, at, ranks_, beyond in zip(chunk["stream"], chunk["batch"], chunk["ranks"], chunk["beyond"]):
                 if name != current:
                     current, level = name, alpha
-                limit = rule.threshold(level)
-                missed = float(np.mean(np.asarray(errors) > limit))
-                out.append((name, number_, level, limit, missed, len(errors)))
-                if len(errors) == batch:
+                spot, size = rule.position(level), len(ranks_)
+                missed = beyond / size if spot is None else float(np.mean(np.asarray(ranks_) > spot))
+                out.append((name, at, level, spot, missed, size))
+                if size == batch:
                     level = rule.follow(level, missed)
-            yield pd.DataFrame(out, columns=["stream", "batch", "level", "threshold", "miscoverage", "n"])
-
-    schema = "stream string, batch long, level double, threshold double, miscoverage double, n long"
-    return ordered.mapInPandas(chain, schema)
+            yield pd.DataFrame(out, columns=["stream", "batch", "level", "position", "miscoverage", "n"])
+
+    schema = "stream string, batch long, level double, position double, miscoverage double, n long"
+    levels = ordered.mapInPandas(chain, schema).withColumn("at", F.floor(F.coalesce("position", F.lit(0.0))))
+    ladder = ranks.select(F.col("_low").alias("at"), "_error", "_next", "_high")
+    found = last_at_or_before(ladder, levels, [], "at", ["_error", "_next", "_high"])
+    # between the last copy of an error and the next error the quantile is a straight line
+    over = F.greatest(F.col("position") - F.col("_high"), F.lit(0.0))
+    value = F.col("_error") + over * (F.coalesce("_next", "_error") - F.col("_error"))
+    threshold = F.when(F.col("position").isNull(), F.lit(top + 1e-6)).otherwise(value)
+    return found.select("stream", "batch", "level", threshold.alias("threshold"), "miscoverage", "n")

@@ -193,16 +193,19 @@ def log_loss(scored: DataFrame, by: Sequence[str] = ("batch",)) -> DataFrame:
 def smooth_series(series: DataFrame, value: str, order: str, width: int) -> DataFrame:
     """Centred running median over at most ``width`` rows (shorter at both ends).
 
-    The series has one row per batch; positions are numbered and every row is sent to the ``width`` windows
-    it belongs to, so no single task holds the series.
+    Positions are numbered and cut into shares; a share also receives ``width // 2`` rows of its neighbours,
+    so windows are complete inside it and no task holds the series.
     """
-    half = width // 2
+    half, share = width // 2, max(8 * width, 4096)
     spots = running_totals(series, [], [order], {"_spot": F.lit(1)})
-    last = spots.agg(F.max("_spot")).scalar()
-    reach = F.explode(F.sequence(F.greatest(F.col("_spot") - half, F.lit(1)), F.least(F.col("_spot") + half, F.col("_end"))))
-    spread = spots.withColumn("_end", last).select(reach.alias("_spot"), F.col(value).alias("_v"))
-    medians = spread.groupBy("_spot").agg(F.median("_v").alias("smoothed"))
-    return spots.join(medians, "_spot").select(order, value, "smoothed")
+    own = F.floor(F.col("_spot") / share)
+    reached = F.array_distinct(F.array(
+        F.floor((F.col("_spot") - half) / share), own, F.floor((F.col("_spot") + half) / share)
+    ))
+    spread = spots.withColumn("_own", own).withColumn("_share", F.explode(reached))
+    around = Window.partitionBy("_share").orderBy("_spot").rowsBetween(-half, half)
+    smoothed = spread.withColumn("smoothed", F.median(value).over(around))
+    return smoothed.where("_own = _share").select(order, value, "smoothed")
 
 
 def bucket_score_histogram(buckets: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
