@@ -39,6 +39,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalize_cmdline(command) -> Column:
     """Lower-cased command with users, temp files, ids, addresses and numbers replaced by markers."""
     text = F.lower(_col(command))
@@ -48,9 +53,10 @@ def normalize_cmdline(command) -> Column:
 
 
 def _without_first(tokens: Column, value: str) -> Column:
-    spot = F.array_position(tokens, F.lit(value)).cast("int")
-    rest = F.concat(F.slice(tokens, F.lit(1), spot - 1), F.slice(tokens, spot + 1, F.size(tokens)))
-    return F.when(spot > 0, rest).otherwise(tokens)
+    def cut(t: Column) -> Column:
+        return F.filter(t, lambda x, n: (x != value) | (n + 1 != F.array_position(t, F.lit(value))))
+
+    return _let(tokens, cut)
 
 
 def _clean(tokens: Column, drop: str) -> Column:
@@ -63,39 +69,42 @@ def _clean(tokens: Column, drop: str) -> Column:
 
 def normal_path(path: Column) -> Column:
     """POSIX path normalisation: repeated slashes, ``.`` and ``..`` resolved; empty becomes ``.``."""
-    rooted = path.startswith("/")
-    lead = (
-        F.when(path.rlike("^//([^/]|$)"), F.lit("//")).when(rooted, F.lit("/")).otherwise(F.lit(""))
-    )
-
-    def step(done: Column, part: Column) -> Column:
-        size = F.size(done)
-        stuck = F.when(size == 0, ~rooted).otherwise(F.element_at(done, -1) == "..")
-        return (
-            F.when(part.isin("", "."), done)
-            .when((part != "..") | stuck, F.concat(done, F.array(part)))
-            .when(size > 0, F.slice(done, F.lit(1), size - 1))
-            .otherwise(done)
-        )
-
-    parts = F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step)
-    joined = F.concat(lead, F.array_join(parts, "/"))
-    return F.when(joined == "", F.lit(".")).otherwise(joined)
+
+    def resolve(p: Column) -> Column:
+        rooted = p.startswith("/")
+        lead = F.when(p.rlike("^//([^/]|$)"), F.lit("//")).when(rooted, F.lit("/")).otherwise(F.lit(""))
+
+        def step(done: Column, part: Column) -> Column:
+            size = F.size(done)
+            stuck = F.when(size == 0, ~rooted).otherwise(F.get(done, size - 1) == "..")
+            return (
+                F.when(part.isin("", "."), done)
+                .when((part != "..") | stuck, F.concat(done, F.array(part)))
+                .when(size > 0, F.slice(done, F.lit(1), F.greatest(size - 1, F.lit(0))))
+                .otherwise(done)
+            )
+
+        parts = F.aggregate(F.split(p, "/", -1), F.array().cast("array<string>"), step)
+        return F.coalesce(F.nullif(F.concat(lead, F.array_join(parts, "/")), F.lit("")), F.lit("."))
+
+    return _let(path, resolve)
 
 
 def _path_tokens(path: Column, drop: str, split_extension: bool) -> Column:
     slashed = F.regexp_replace(F.translate(path, "\\", "/"), DEVICE, "C:")
     tokens = F.split(normal_path(slashed), PATH_CUT, -1)
     if split_extension:
-        final = F.element_at(tokens, -1)
-        stem, suffix = F.regexp_extract(final, r"^(.*)\.(.*?)$", 1), F.regexp_extract(final, r"^(.*)\.(.*?)$", 2)
-        tokens = F.when(
-            final.rlike(r"^(.*)\.(.*?)$"),
-            F.concat(F.slice(tokens, F.lit(1), F.size(tokens) - 1), F.array(stem, suffix)),
-        ).otherwise(tokens)
+        tokens = _let(tokens, _cut_extension)
     return _clean(tokens, drop)
 
 
+def _cut_extension(tokens: Column) -> Column:
+    shape, final = r"^(.*)\.(.*?)$", F.element_at(tokens, -1)
+    pieces = F.array(F.regexp_extract(final, shape, 1), F.regexp_extract(final, shape, 2))
+    head = F.slice(tokens, F.lit(1), F.size(tokens) - 1)
+    return F.when(final.rlike(shape), F.concat(head, pieces)).otherwise(tokens)
+
+
 def tokenize_path(path, drop: str = "first", split_extension: bool = False) -> Column:
     """Path parts. ``drop`` says whether the first or all empty/``?``/``??`` parts go."""
     return _path_tokens(_col(path), drop, split_extension)
@@ -103,11 +112,7 @@ def tokenize_path(path, drop: str = "first", split_extension: bool = False) -> C
 
 def _arguments(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
-
-
-def _rest(arguments: Column) -> Column:
-    return F.slice(arguments, F.lit(2), F.greatest(F.size(arguments) - 1, F.lit(0)))
+    return _let(found, lambda f: F.when(F.size(f) == 0, F.array(F.lit(""))).otherwise(f))
 
 
 def tokenize_cmdline(command, drop: str = "first", split_extension: bool = False) -> Column:
@@ -119,21 +124,19 @@ def tokenize_cmdline(command, drop: str = "first", split_extension: bool = False
     def as_path(text: Column) -> Column:
         return _path_tokens(text, drop, split_extension)
 
-    def plain(argument: Column) -> Column:
-        return F.when(argument.rlike(r"[\\/]"), as_path(argument)).otherwise(F.array(argument))
+    def plain(argument: Column, place: Column) -> Column:
+        return F.when((place == 0) | argument.rlike(r"[\\/]"), as_path(argument)).otherwise(F.array(argument))
 
-    def assemble(arguments: Column, other) -> Column:
-        first = as_path(F.replace(F.element_at(arguments, 1), F.lit('"'), F.lit("")))
-        rest = F.transform(_rest(arguments), lambda a: other(F.replace(a, F.lit('"'), F.lit(""))))
-        return _clean(F.concat(first, F.flatten(rest)), "all") if drop == "all" else _without_first(
-            F.concat(first, F.flatten(rest)), ""
-        )
+    def tidy(parts: Column) -> Column:
+        tokens = F.flatten(parts)
+        return _clean(tokens, "all") if drop == "all" else _without_first(tokens, "")
 
-    def nested(argument: Column) -> Column:
-        inner = assemble(_arguments(argument, r"\S+"), plain)
-        return F.when(argument.contains(" "), inner).otherwise(plain(argument))
+    def nested(argument: Column, place: Column) -> Column:
+        inner = tidy(F.transform(_arguments(argument, r"\S+"), plain))
+        return F.when((place > 0) & argument.contains(" "), inner).otherwise(plain(argument, place))
 
-    return assemble(_arguments(_col(command), COMMAND_ARGUMENT), nested)
+    bare = F.transform(_arguments(_col(command), COMMAND_ARGUMENT), lambda a: F.replace(a, F.lit('"'), F.lit("")))
+    return tidy(F.transform(bare, nested))
 
 
 def text_sequence(text) -> Column:

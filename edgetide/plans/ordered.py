@@ -136,6 +136,9 @@ def last_before(
     needed, so moments are cut to ``k`` points before anything is shuffled by time (the row_number
     filter runs map-side first); distinct moments are then sorted once for all queries.
     """
+    if not keys:
+        points, queries = (t.withColumn("_all", F.lit(0)) for t in (points, queries))
+        return last_before(points, queries, ["_all"], at, payload, k, tie, name).drop("_all")
     newest = Window.partitionBy(*keys, at).orderBy(*[F.col(t).desc() for t in (*tie, *payload)])
     entry = F.struct(*tie, *payload)
     moments = (

@@ -14,7 +14,7 @@ def spark():
     session = build_session(
         "tests", "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "5", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
+            "spark.sql.shuffle.partitions": "5", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g",
             "spark.sql.adaptive.coalescePartitions.enabled": "false",
         },
     )
