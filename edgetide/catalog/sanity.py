@@ -200,13 +200,6 @@ def calibration_holdout(spark, sf):
     return splits.calibration_holdout(train.select("idx", "u", "i", "ts_us")).select("idx")
 
 
-@query("new_node_edges", sql("trade", body=TRADE_SPLIT + """, known as (select u as node from s where split='train' union select i from s where split='train')
- select idx, split, u, i from s where split<>'train' and (u not in (select node from known) or i not in (select node from known))"""))
-def new_node_edges(spark, sf):
-    edges = splits.quantile_split(trade_edges(spark, sf), 0.15, 0.15)
-    return splits.new_node_edges(edges.where("split <> 'train'"), edges.where("split = 'train'")).select("idx", "split", "u", "i")
-
-
 EARLY = """+ c as (select quantile_cont(ts_us,0.05) as t from tr), train as (select tr.* from tr, c where ts_us<=t),
  known as (select u as node from train union select i from train)"""
 
@@ -216,6 +209,14 @@ def early(edges, share):
     return edges.withColumn("_t", limit).where("ts_us <= _t").drop("_t")
 
 
+@query("new_node_edges", sql("tr", body=EARLY.replace("0.05", "0.01") + """ select idx, u, i from tr, c
+ where ts_us > t and (u not in (select node from known) or i not in (select node from known))"""))
+def new_node_edges(spark, sf):
+    edges = transition_edges(spark, sf)
+    train = early(edges, 0.01)
+    return splits.new_node_edges(edges.join(train.select("idx"), "idx", "left_anti"), train).select("idx", "u", "i")
+
+
 @query("leakage_levels", sql("tr", body=EARLY.replace("0.05", "0.01") + """ select case (u in (select node from known))::int + (i in (select node from known))::int
  when 2 then 'both' when 1 then 'one' else 'none' end as level, count(*) as n from tr where label=1 group by 1"""))
 def leakage_levels(spark, sf):
