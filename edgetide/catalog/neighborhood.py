@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from edgetide.catalog.fixtures import (
-    kv_edges, r6, raw_logs, sql, sql_draw, trade_edges, transition_edges,
+    kv_edges, r6, raw_logs, sql, sql_draw, table, trade_edges, transition_edges,
 )
 from edgetide.catalog.registry import query
 from edgetide.functions.vectors import one_hot
@@ -131,8 +131,6 @@ def neighbor_cooccurrence(spark, sf):
  left join rec on rec.qidx=q.qidx and rec.side=q.side left join vec n on n.node=rec.neighbor where q.side='src' group by 1"""))
 def neighbor_mean(spark, sf):
     edges = transition_edges(spark, sf)
-    from edgetide.catalog.fixtures import table
-
     vectors = table(spark, sf, "embeddings").select(
         (F.col("vec_id") + 1).alias("node"), F.slice("embedding", 1, 2).cast("array<double>").alias("vec")
     )
@@ -141,8 +139,8 @@ def neighbor_mean(spark, sf):
     return found.select("qid", r6(F.col("vec")[0]).alias("a"), r6(F.col("vec")[1]).alias("b"))
 
 
-@query("neighbor_time_features", sql("tr", body="+ " + recent("tr", 4) + """ select qidx as qid, neighbor, nidx as idx, round((at-nts)/1e6, 6) as delta_t, tr.action_type,
- round(cos((at-nts)/1e6 * pow(10.0, -9.0)), 6) as slowest from rec join tr on tr.idx=nidx where side='src'"""))
+@query("neighbor_time_features", sql("tr", body="+ " + recent("tr", 4) + """ select qidx as qid, neighbor, nidx as idx, round((rec.at-nts)/1e6, 6) as delta_t, tr.action_type,
+ round(cos((rec.at-nts)/1e6 * pow(10.0, -9.0)), 6) as slowest from rec join tr on tr.idx=nidx where side='src'"""))
 def neighbor_time_features(spark, sf):
     edges = transition_edges(spark, sf)
     queries = edges.select(F.col("idx").alias("qid"), F.col("u").alias("node"), "ts_us")
@@ -151,7 +149,7 @@ def neighbor_time_features(spark, sf):
 
 
 @query("node_recency", sql("trade", body=f"+ {halves('trade')}, {asked('trade')}" + """, m as (select distinct node, ts_us from hf), p as (select node, ts_us, lag(ts_us) over (partition by node order by ts_us) as prev from m)
- select qidx as idx, side, q.node, round((at-prev)/1e6, 6) as recency from q join p on p.node=q.node and p.ts_us=q.at"""))
+ select qidx as idx, side, q.node, round((q.at-prev)/1e6, 6) as recency from q join p on p.node=q.node and p.ts_us=q.at"""))
 def node_recency(spark, sf):
     return nb.node_recency(trade_edges(spark, sf)).withColumn("recency", r6("recency"))
 

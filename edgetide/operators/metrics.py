@@ -204,7 +204,9 @@ def smooth_series(series: DataFrame, value: str, order: str, width: int) -> Data
     ))
     spread = spots.withColumn("_own", own).withColumn("_share", F.explode(reached))
     around = Window.partitionBy("_share").orderBy("_spot").rowsBetween(-half, half)
-    smoothed = spread.withColumn("smoothed", F.median(value).over(around))
+    near = F.sort_array(F.collect_list(value).over(around))  # at most ``width`` values
+    middle = lambda up: F.get("_near", F.floor((F.size("_near") - 1 + up) / 2).cast("int"))
+    smoothed = spread.withColumn("_near", near).withColumn("smoothed", (middle(0) + middle(1)) / 2)
     return smoothed.where("_own = _share").select(order, value, "smoothed")
 
 
