@@ -17,7 +17,7 @@ from edgetide.operators import events as ev
 from edgetide.operators.metrics import squash_scores
 from edgetide.operators.windows import node_key, orient_process_create
 from edgetide.plans.ordered import row_numbers
-from edgetide.session import shared_folder
+from edgetide.session import scratch_folder
 from edgetide.sources import logs as log_source
 from edgetide.sources import tables as table_source
 
@@ -26,7 +26,7 @@ FLAT = ["id", "hostname", "timestamp", "actor_id", "object_id", "object_type", "
 
 
 def scratch(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/tables-{uuid.uuid4().hex}"
 
 
 def elements(df: DataFrame, key: str, column: str, digits: int = 6) -> DataFrame:

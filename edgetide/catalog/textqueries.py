@@ -14,6 +14,7 @@ from edgetide.operators import linkmodel, negatives, textfeatures as tx
 from edgetide.operators.events import text_corpus
 from edgetide.operators.metrics import roc_auc
 from edgetide.plans.ordered import quantiles
+from edgetide.session import stored
 
 DIM = 4
 # a vocabulary with vectors: the first words of the benchmark items, numbered
@@ -138,7 +139,7 @@ def link_classifier(spark, sf):
         drawn.select(F.concat(F.lit("n"), "idx").alias("cid"), *columns, F.lit(0).alias("label"))
     )
     cut = quantiles(edges, "ts_us", {"c": 0.7}).first()["c"]
-    features = linkmodel.link_features(both, edges).checkpoint()
+    features = stored(linkmodel.link_features(both, edges))
     model = linkmodel.fit_link_classifier(features.where(F.col("ts_us") <= cut))
     scored = linkmodel.score_links(model, features.where(F.col("ts_us") > cut))
     return roc_auc(scored).select(r6("auc", 3).alias("auc"))

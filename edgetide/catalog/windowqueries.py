@@ -8,6 +8,7 @@ from edgetide.catalog.fixtures import flat_events, raw_logs, r6, sql, table
 from edgetide.catalog.registry import query
 from edgetide.functions.times import epoch_bucket
 from edgetide.operators import windows as wn
+from edgetide.session import stored
 from edgetide.schema import ACTIONS, NODE_TYPES
 
 DAY = 24 * 60
@@ -36,7 +37,8 @@ def windowed(spark, sf):
         "hostname", "ts_us", "ord", "id", F.col("actor_id").alias("src"),
         F.replace("object_id", F.lit("o"), F.lit("p")).alias("dst"), kind.alias("dst_type"), "action_type", bad.alias("label"),
     )
-    return wn.drop_type_mismatch(wn.window_edges(rows, DAY))
+    # the graph is built once; every feature below reads it several times
+    return stored(wn.drop_type_mismatch(wn.window_edges(rows, DAY)))
 
 
 @query("drop_type_mismatch", sql("logs", body=WINDOW_SQL + " select hostname, window_us, id, dst_type from we"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from edgetide.plans.ordered import last_at_or_before, last_before, next_row, running_totals
 from edgetide.schema import BATCH
+from edgetide.session import stored
 
 
 def _errors(scored: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def adaptive_conformal(
     error exceeds the threshold at rank p exactly when its own rank exceeds p. What is chained is one row per
     batch, read through an iterator, and thresholds are looked up afterwards.
     """
-    ranks = _calibration_ranks(calibration).checkpoint()
+    ranks = stored(_calibration_ranks(calibration))
     facts = ranks.agg(F.max("_high").alias("h"), F.max("_error").alias("top")).first()  # two numbers
     n, top = int(facts["h"]) + 1, float(facts["top"])
     rule = AdaptiveLevel(n, alpha, rate, batch)

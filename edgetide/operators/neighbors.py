@@ -307,19 +307,37 @@ def two_hop_non_neighbors(edges: DataFrame, max_neighbors: int = 100, stop_after
         F.sort_array(F.collect_list(F.struct("far_rank", "far", "far_us", "direct_us"))).alias("offers")
     ).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "via_us", "offers"))).alias("reach"))
 
-    moment = F.col("ts_us")
-    entry = F.transform("reach", lambda e: e)
     node_entry = "array<struct<far:bigint,direct_us:bigint>>"
 
-    def expand(taken: Column, e: Column) -> Column:
-        seen = F.transform(
-            F.filter(e["offers"], lambda o: o["far_us"] < moment),
-            lambda o: F.struct(o["far"].alias("far"), o["direct_us"].alias("direct_us")),
+    def offered(e: Column, until: Column | None) -> Column:
+        offers = e["offers"] if until is None else F.filter(e["offers"], lambda o: o["far_us"] < until)
+        return F.transform(offers, lambda o: F.struct(o["far"].alias("far"), o["direct_us"].alias("direct_us")))
+
+    # late edges see every offer of the first few neighbours and stop there; that short list and the moment
+    # from which it is complete are worked out once per node
+    start = F.struct(
+        F.array().cast(node_entry).alias("taken"), F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("settled_us")
+    )
+
+    def settle(state: Column, e: Column) -> Column:
+        latest = F.greatest(state["settled_us"], e["via_us"], F.array_max(F.transform(e["offers"], lambda o: o["far_us"])))
+        more = F.struct(
+            F.array_union(state["taken"], offered(e, None)).alias("taken"), (state["n"] + 1).alias("n"),
+            latest.alias("settled_us"),
         )
+        return F.when(F.size(state["taken"]) > stop_after, state).otherwise(more)
+
+    reach = reach.withColumn("_s", F.aggregate("reach", start, settle)).select(
+        "node", "reach", F.slice("reach", F.lit(1), F.col("_s.n")).alias("first_reach"), "_s.settled_us"
+    )
+    moment = F.col("ts_us")
+
+    def expand(taken: Column, e: Column) -> Column:
         done = (F.size(taken) > stop_after) | (e["via_us"] >= moment)
-        return F.when(done, taken).otherwise(F.array_union(taken, seen))
+        return F.when(done, taken).otherwise(F.array_union(taken, offered(e, moment)))
 
-    collected = F.aggregate(entry, F.array().cast(node_entry), expand)
+    visible = F.when(F.col("settled_us") < moment, F.col("first_reach")).otherwise(F.col("reach"))
+    collected = F.aggregate(visible, F.array().cast(node_entry), expand)
     fresh = F.filter(
         collected, lambda c: (c["far"] != F.col("u")) & (c["direct_us"].isNull() | (c["direct_us"] >= moment))
     )

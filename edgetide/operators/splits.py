@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgetide.operators.logstats import QUARTILES
-from edgetide.plans.ordered import quantiles, row_numbers
-from edgetide.plans.sampling import digest
+from edgetide.plans.ordered import quantiles
+from edgetide.plans.sampling import smallest_digests
 
 
 def time_split(ts="ts_us", *, train_start, val_start, test_start, test_end) -> Column:
@@ -72,8 +72,7 @@ def positives_union_negatives(positives: DataFrame, negatives: DataFrame) -> Dat
 def sample_ranked(rows: DataFrame, share: float, seed: int, key: str, of: Column | None = None) -> DataFrame:
     """The int(share * n) rows of smallest digest. ``of`` replaces n, the number of rows."""
     size = of if of is not None else rows.agg(F.count("*")).scalar()
-    ranked = row_numbers(rows.withColumn("_d", digest(seed, key)), ["_d", key], "_rank")
-    return ranked.where(F.col("_rank") <= F.floor(F.lit(share) * size)).drop("_d", "_rank")
+    return smallest_digests(rows, F.floor(F.lit(share) * size), seed, key)
 
 
 def inductive_holdout(edges: DataFrame, val_start: int, end: int, share: float = 0.1, seed: int = 2020) -> DataFrame:

@@ -170,6 +170,25 @@ def window_degree_features(degrees: DataFrame) -> DataFrame:
     return degrees.groupBy(*KEY).agg(*columns)
 
 
+def _slot(vocabulary: Sequence[str], value: str, start: int) -> Column:
+    """Vector position of a vocabulary value, out values first and in values after them; -1 when unknown."""
+    place = F.array_position(F.array(*[F.lit(v) for v in vocabulary]), F.col(value)).cast("int") - 1
+    side = F.when(F.col("direction") == "out", F.lit(start)).otherwise(F.lit(start + len(vocabulary)))
+    return F.when(place >= 0, place + side).otherwise(F.lit(-1))
+
+
+def _vectors(rows: DataFrame, by: Sequence[str], value: Column, name: str, dim: int) -> DataFrame:
+    """Aggregates ``value`` per key and vector position ``slot`` and lays the results out as one vector.
+
+    Positions are grouped first, so a key's rows arrive at its vector as at most ``dim`` numbers.
+    """
+    cells = rows.groupBy(*by, "slot").agg(value.cast("double").alias("_v"))
+    filled = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("slot", "_v"))).alias("_m"))
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    vector = F.transform(places, lambda n: F.coalesce(F.try_element_at("_m", n), F.lit(0.0)))
+    return filled.select(*by, vector.alias(name))
+
+
 def type_frequency_features(
     edges: DataFrame, selected: str = "Process", by: Sequence[str] = (*KEY, "node"),
     actions: Sequence[str] = tuple(ACTIONS), types: Sequence[str] = tuple(NODE_TYPES),
@@ -179,9 +198,10 @@ def type_frequency_features(
     ``by`` = window key and node gives node features, the window key alone their window totals.
     """
     rows = _sides(edges).where(F.col("node_type") == selected)
-    cells = [_hits((F.col("direction") == d) & (F.col("action_type") == a)) for d in ("out", "in") for a in actions]
-    cells += [_hits((F.col("direction") == d) & (F.col("other_type") == t)) for d in ("out", "in") for t in types]
-    return rows.groupBy(*by).agg(F.array(*cells).alias("frequencies"))
+    slots = F.explode(F.array(_slot(actions, "action_type", 0), _slot(types, "other_type", 2 * len(actions))))
+    return _vectors(
+        rows.select(*by, slots.alias("slot")), by, F.count("*"), "frequencies", 2 * (len(actions) + len(types))
+    )
 
 
 def lifetime_features(nodes: DataFrame, selected: str = "Process") -> DataFrame:
@@ -199,11 +219,8 @@ def neighbor_lifetime_by_type(
 ) -> DataFrame:
     """Mean lifetime of out and in neighbours per type, 0 without any; per node or, by window key, per window."""
     rows = _sides(edges, nodes).where(F.col("node_type") == selected)
-    cells = [
-        F.coalesce(F.avg(F.when((F.col("direction") == d) & (F.col("other_type") == t), F.col("other_life"))), F.lit(0.0))
-        for d in ("out", "in") for t in types
-    ]
-    return rows.groupBy(*by).agg(F.array(*cells).alias("lifetimes"))
+    slotted = rows.select(*by, _slot(types, "other_type", 0).alias("slot"), "other_life")
+    return _vectors(slotted, by, F.avg("other_life"), "lifetimes", 2 * len(types))
 
 
 def window_encoding(edges: DataFrame, nodes: DataFrame, level: str = "node", selected: str = "Process") -> DataFrame:

@@ -1,7 +1,7 @@
 """Ordered computations over data that is larger than one task.
 
 Everything here rests on one placement: rows are range-partitioned and sorted by the order columns, then
-checkpointed in the shared folder so the placement never changes afterwards. A key with very many rows is
+written to the shared folder with their place, so the placement never changes afterwards. A key with very many rows is
 then spread over several consecutive partitions, and only a *carry* of one small row per partition has to
 travel from one partition to the next. No step sorts or collects a whole key in one task, and the carry
 tables hold at most one row per partition, which is what makes broadcasting them safe.
@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgetide.session import shared_folder
+from edgetide.session import stored
 
 PART, POS = "_part", "_pos"
 _IN_PARTITION = (1 << 33) - 1  # monotonically_increasing_id keeps the row position in its low 33 bits
@@ -25,15 +25,17 @@ def _column(c) -> Column:
 
 
 def range_sorted(df: DataFrame, *order) -> DataFrame:
-    """``df`` range-partitioned and sorted by ``order``, with ``_part`` and ``_pos`` naming each row's place."""
-    shared_folder(df.sparkSession)
+    """``df`` range-partitioned and sorted by ``order``, with ``_part`` and ``_pos`` naming each row's place.
+
+    The places are stored as columns, so they stay what they are however the table is read later.
+    """
     cols = [_column(c) for c in order]
-    placed = df.repartitionByRange(*cols).sortWithinPartitions(*cols).checkpoint()
-    return placed.select(
+    placed = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+    return stored(placed.select(
         "*",
         F.spark_partition_id().alias(PART),
         F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)).alias(POS),
-    )
+    ))
 
 
 def _in_part(keys: Sequence[str]):
@@ -147,10 +149,9 @@ def last_before(
         .groupBy(*keys, at).agg(F.sort_array(F.collect_list(entry)).alias("_items"))
     )
     item_type = moments.schema["_items"].dataType
-    asked = queries.select(*keys, at).distinct()
     merged = (
         moments.select("*", F.lit(0).alias("_asked"))
-        .unionByName(asked.select("*", F.lit(None).cast(item_type).alias("_items"), F.lit(1).alias("_asked")))
+        .unionByName(queries.select(*keys, at, F.lit(None).cast(item_type).alias("_items"), F.lit(1).alias("_asked")))
         .groupBy(*keys, at).agg(F.max("_items").alias("_items"), F.max("_asked").alias("_asked"))
     )
     placed = range_sorted(merged, *keys, at)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgetide.plans.ordered import row_numbers
+
 # Fixed value: a prime above any table size, so stepping by it visits every residue once.
 STEP = 1_000_000_000_039
 
@@ -28,3 +30,20 @@ def uniform(seed: int, *keys) -> Column:
 def permuted(j: Column, size: Column, seed: int, *keys) -> Column:
     """The ``j``-th element of a seeded permutation of [0, size): distinct for distinct ``j`` < size."""
     return F.pmod(F.lit(STEP) * j + draw(seed, *keys), size)
+
+
+def smallest_digests(rows: DataFrame, wanted: Column, seed: int, key: str) -> DataFrame:
+    """The ``wanted`` rows (a scalar) of smallest digest of a unique ``key``: a sample of exact size.
+
+    Rows are counted per digest prefix (at most 65,536 counts). Whole prefixes below the boundary are taken
+    as they are; only the boundary prefix has to be sorted.
+    """
+    tagged = rows.withColumn("_d", digest(seed, key)).withColumn("_g", F.substring("_d", 1, 4))
+    sizes = tagged.groupBy("_g").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_g"))
+    edge = sizes.select("_g", "_n", upto.alias("_upto")).withColumn("_want", wanted).where("_upto >= _want")
+    edge = edge.agg(F.min(F.struct("_g", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("left")))).scalar()
+    marked = tagged.withColumn("_edge", edge)
+    whole = marked.where("_edge is null or _g < _edge._g")
+    border = row_numbers(marked.where("_g = _edge._g"), ["_d", key], "_rank").where("_rank <= _edge.left")
+    return whole.unionByName(border.drop("_rank")).drop("_d", "_g", "_edge")

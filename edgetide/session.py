@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "edgetide", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,3 +42,25 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_folder(spark)}/edgetide-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder as parquet and read back.
+
+    Cuts lineage like a checkpoint, survives lost executors, and later readers fetch only the columns they use.
+    """
+    spark = df.sparkSession
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Removes the tables this application stored; call it when their readers are done."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from edgetide.schema import BATCH
-from edgetide.session import shared_folder
+from edgetide.session import scratch_folder
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -145,7 +145,7 @@ def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
     Every micro-batch overwrites its own folder, so a repeated batch does not duplicate rows.
     """
     spark: SparkSession = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
