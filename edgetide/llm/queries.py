@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from edgetide.llm import bpe, linededup, sharding
+from edgetide.llm import bpe, htmltext, linededup, sharding, simhash, topk
 from edgetide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,5 +25,18 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_feistel_shards, op5_line_dedup, op7_byte_bpe)}
-ORACLES: dict[str, str] = {"op5_line_dedup": linededup.LINE_DIGEST_SQL}
+def op3_html_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.page_texts(table(spark, folder, "pages"))
+
+
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.fingerprint_components(table(spark, folder, "documents"))
+
+
+def op9_pivot_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op2_feistel_shards, op3_html_blocks, op5_line_dedup, op7_byte_bpe, op8_simhash, op9_pivot_topk)}
+ORACLES: dict[str, str] = {"op5_line_dedup": linededup.LINE_DIGEST_SQL, "op9_pivot_topk": topk.TOP_K_SQL}
