@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import bpe, htmltext, linededup, sharding, simhash, topk
+from edgetide.llm import bpe, htmltext, langid, linededup, sharding, simhash, topk
 from edgetide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op9_pivot_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op10_language_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.document_languages(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_feistel_shards, op3_html_blocks, op5_line_dedup, op7_byte_bpe, op8_simhash, op9_pivot_topk)}
+    op2_feistel_shards, op3_html_blocks, op5_line_dedup, op7_byte_bpe, op8_simhash, op9_pivot_topk,
+    op10_language_spans)}
 ORACLES: dict[str, str] = {"op5_line_dedup": linededup.LINE_DIGEST_SQL, "op9_pivot_topk": topk.TOP_K_SQL}
