@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DRAW = 1 << 40
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Bounds what a Python worker is handed at once by bytes, as texts differ in length by orders of magnitude."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

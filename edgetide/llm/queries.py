@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import bpe, htmltext, langid, linededup, sharding, simhash, topk
-from edgetide.llm.common import table
+from edgetide.llm import bpe, htmltext, langid, linededup, quality, sharding, simhash, topk, toxicity
+from edgetide.llm.common import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.document_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op2_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.document_shards(table(spark, folder, "documents"))
 
@@ -21,6 +25,10 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.line_digest(table(spark, folder, "documents"))
 
 
+def op6_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.document_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"))
 
@@ -41,7 +49,14 @@ def op10_language_spans(spark: SparkSession, folder: str) -> DataFrame:
     return langid.document_languages(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_feistel_shards, op3_html_blocks, op5_line_dedup, op7_byte_bpe, op8_simhash, op9_pivot_topk,
-    op10_language_spans)}
+def _prepared(query: Query) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return query(bounded_batches(spark), folder)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
+    op1_byte_cnn, op2_feistel_shards, op3_html_blocks, op5_line_dedup, op6_toxic_segments, op7_byte_bpe, op8_simhash,
+    op9_pivot_topk, op10_language_spans)}
 ORACLES: dict[str, str] = {"op5_line_dedup": linededup.LINE_DIGEST_SQL, "op9_pivot_topk": topk.TOP_K_SQL}
