@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import bpe, htmltext, langid, linededup, quality, sharding, simhash, topk, toxicity
+import corpus_pipeline
+from edgetide.llm import bpe, decontaminate, htmltext, langid, linededup, quality, sharding, simhash, topk, toxicity
 from edgetide.llm.common import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,10 @@ def op2_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.document_shards(table(spark, folder, "documents"))
 
 
+def op4_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.line_digest(table(spark, folder, "documents"))
 
@@ -57,6 +62,7 @@ def _prepared(query: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
-    op1_byte_cnn, op2_feistel_shards, op3_html_blocks, op5_line_dedup, op6_toxic_segments, op7_byte_bpe, op8_simhash,
-    op9_pivot_topk, op10_language_spans)}
+    op1_byte_cnn, op2_feistel_shards, op3_html_blocks, op4_template_decontamination, op5_line_dedup, op6_toxic_segments,
+    op7_byte_bpe, op8_simhash, op9_pivot_topk, op10_language_spans)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op5_line_dedup": linededup.LINE_DIGEST_SQL, "op9_pivot_topk": topk.TOP_K_SQL}
