@@ -39,7 +39,7 @@ def integer_vectors(rows: DataFrame, scale: int = 1024) -> DataFrame:
 
 
 def matrix(vectors, dim: int) -> np.ndarray:
-    return np.array([np.asarray(v, np.int64) for v in vectors], np.int64).reshape(-1, dim)
+    return np.array([np.asarray(v, np.int64) for v in vectors], np.int64).reshape(len(vectors), dim)
 
 
 def choose_pivots(vectors: np.ndarray, count: int = PIVOTS) -> np.ndarray:

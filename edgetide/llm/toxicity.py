@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgetide.llm.common import held_out, sampled, whole_text
+from edgetide.llm.common import held_out, sampled, small, whole_text
 
 SAMPLE = 3000  # labelled documents of each class, about, that the model is fitted on
 TOKENS = 20_000  # tokens with a score of their own, at most
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
     marked = known.groupBy("doc_id").agg((F.avg((F.col(label) > 0).cast("int")) >= 0.5).cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
-    chosen = docs.select("doc_id", "text").join(sampled(marked, "label", ["doc_id"], sample), "doc_id")
+    chosen = docs.select("doc_id", "text").join(small(sampled(marked, "label", ["doc_id"], sample)), "doc_id")
     texts = chosen.select(whole_text("text").alias("text"), "label").distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
     scale = (len(plain) + 1) / (float((plain["n"].to_numpy() * np.exp(-rate * best)).sum()) + 1)
     x = np.array([evidence([(0, 0, s) for s in f], n, rate, scale) for f, n in zip(seen["found"], seen["n"])]).reshape(-1, 2)
     y = seen["label"].to_numpy(float)
-    share = y.mean() if len(y) else 0.5
+    share = y.mean() if len(y) else 0.0
     prior = (ones + 1) / (ones + zeros + 2)
     if not 0 < share < 1:
         return Model({}, rate, scale, np.array([np.log(prior) - np.log1p(-prior), 0.0, 0.0]))
