@@ -54,3 +54,11 @@ def sampled(rows: DataFrame, stratum: str, keys: list[str], bound: int, seed: in
     counts = rows.where(F.col(stratum).isNotNull()).groupBy(stratum).agg(F.count("*").alias(size))
     kept = rows.join(counts, stratum).where(drawn * F.col(size).cast("double") < float(bound) * DRAW)
     return kept.select(*rows.columns)
+
+
+def small(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """``rows`` with a hint to broadcast them after counting at most ``most``, else as they are: the join then shuffles.
+
+    For narrow rows only: ids, hashes and counts.
+    """
+    return F.broadcast(rows) if rows.count() <= most else rows

@@ -11,14 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgetide.llm.common import fresh, whole_text
+from edgetide.llm.common import fresh, small, whole_text
 from edgetide.session import stored
 
 WINDOW = 8
 LITERALS = 4  # tokens of a window that must not be placeholders
 MATCHED = 12  # tokens of an item, or all of a shorter one, that a document must hold
 SHORTEST = 4  # items with fewer tokens can't be told from ordinary prose and never match
-BROADCAST_ROWS = 500_000  # small tables of longs up to this many rows are broadcast, larger ones are shuffled
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 SPACE = r"[ \t\n\x0B\f\r\x01-\x03]+"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
@@ -60,11 +59,6 @@ def _window_hashes(tokens: str, length: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(tokens), i, length)))
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """A hint to broadcast, after counting that there are few rows; otherwise the join shuffles."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def items_of(benchmark: DataFrame) -> DataFrame:
     """(item, item_id, tokens, values): template and raw tokens of each distinct item; ``item`` names id and text."""
     named = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
@@ -97,7 +91,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", whole_text("text").alias("text"))
     tokenised = _tokens(texts, "text", "tokens").select("doc_id", F.xxhash64("text").alias("text_hash"), "tokens")
     hashed = tokenised.select("doc_id", "text_hash", *[_window_hashes("tokens", n).alias(f"h{n}") for n in lengths])
-    wanted = _small(windows)
+    wanted = small(windows)
     schema = "doc_id long, text_hash long, place int, item long, item_place int"
     found = docs.sparkSession.createDataFrame([], schema)
     for n in lengths:
@@ -110,7 +104,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found.groupBy("doc_id", "text_hash", "item", (F.col("place") - F.col("item_place")).alias("shift"))
         .agg(F.sort_array(F.collect_set("item_place")).alias("places")))
     # raw and template tokens of the few documents with a hit
-    keys = _small(aligned.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct())
+    keys = small(aligned.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct())
     with_hash = texts.withColumn("text_hash", F.xxhash64("text"))
     same = with_hash["doc_id"].eqNullSafe(keys["hit_id"]) & (with_hash["text_hash"] == keys["hit_hash"])
     hit_texts = stored(with_hash.join(keys, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(
@@ -119,7 +113,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ))
     joined = aligned.join(
         hit_texts, aligned["doc_id"].eqNullSafe(hit_texts["hit_id"]) & (aligned["text_hash"] == hit_texts["hit_hash"])
-    ).join(_small(items), "item")
+    ).join(items, "item")
     first, last = F.col("places")[0], F.element_at("places", -1)
     size = F.least(F.size("tokens"), F.lit(WINDOW))
     covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1))))
@@ -154,6 +148,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct())
     h = fresh(docs.columns, "text_hash")
     rows = docs.withColumn(h, F.xxhash64(whole_text("text")))
-    keys = _small(hits)
+    keys = small(hits)
     same = rows["doc_id"].eqNullSafe(keys["hit_id"]) & (rows[h] == keys["hit_hash"])
     return rows.join(keys, same, "left_anti").select(*docs.columns)
