@@ -203,15 +203,19 @@ def _rewrites(column: str) -> str:
             pattern, replacement = r"([a-z_])\d+", r"\1<NUM>"
         replacement = replacement.replace("$1", r"\1").replace("$2", r"\2")
         out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
-    return f"trim({out})"
+    return f"regexp_replace({out}, '{text.END_SPACE}', '', 'g')"
 
 
 @query("normalize_cmdline", sql("logs", body=f"""select 'page' || page_id as id, {_rewrites('url')} as normal from pages
- union all select 'log' || id, {_rewrites('command_line')} from logs where command_line is not null"""))
+ union all select 'log' || id, {_rewrites('command_line')} from logs where command_line is not null
+ union all select 'wrapped' || page_id, {_rewrites("chr(9) || url || chr(160) || chr(10)")} from pages"""))
 def normalize_cmdline(spark, sf):
     pages = table(spark, sf, "pages").select(F.concat(F.lit("page"), "page_id").alias("id"), F.col("url").alias("t"))
     commands = raw_logs(spark, sf).select(F.concat(F.lit("log"), "id").alias("id"), F.col("properties.command_line").alias("t"))
-    return pages.union(commands.where("t is not null")).select("id", text.normalize_cmdline("t").alias("normal"))
+    wrapped = table(spark, sf, "pages").select(
+        F.concat(F.lit("wrapped"), "page_id").alias("id"), F.concat(F.lit("\t"), "url", F.lit("\u00a0\n")).alias("t"))
+    rows = pages.union(commands.where("t is not null")).union(wrapped)
+    return rows.select("id", text.normalize_cmdline("t").alias("normal"))
 
 
 @query("tokenize_path", r"""select page_id, array_to_string(list_filter(string_split_regex(
@@ -361,12 +365,12 @@ def position_weight(spark, sf):
     )
 
 
-@query("null_key", sql("tr", "feat", body="""+ a as (select command_line, count(*) as n1 from feat join tr using (idx) where label=0 group by 1),
+@query("null_key", sql("tr", "feat", body="""+ a as (select command_line, count(*) as n1 from feat group by 1),
  b as (select nullif(event_type,'view') as command_line, count(*) as n2 from events group by 1)
  select a.command_line, n1, n2 from a join b on a.command_line is not distinct from b.command_line"""))
 def null_key(spark, sf):
     edges = transition_edges(spark, sf)
-    first = features_of(edges.where("label = 0")).groupBy("command_line").agg(F.count("*").alias("n1"))
+    first = features_of(edges).groupBy("command_line").agg(F.count("*").alias("n1"))
     every = table(spark, sf, "events").select(F.nullif("event_type", F.lit("view")).alias("command_line"))
     second = every.groupBy("command_line").agg(F.count("*").alias("n2"))
     joined = first.join(second, first["command_line"].eqNullSafe(second["command_line"]))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from edgetide.functions.times import micros
 from edgetide.operators.events import extract_fields, filter_events, with_time
 from edgetide.plans.ordered import next_row, row_numbers
+from edgetide.plans.sampling import STEPS
 
 SQL: dict[str, str] = {}
 
@@ -24,7 +25,16 @@ def sql(*views: str, body: str) -> str:
 
 def sql_draw(seed: int, *keys: str) -> str:
     texts = ", ".join(f"cast({k} as varchar)" for k in keys)
-    return f"cast('0x' || substr(md5(concat_ws('|', '{seed}', {texts})), 1, 8) as bigint)"
+    return f"cast('0x' || substr(md5(concat_ws('|', '{seed}', {texts})), 1, 15) as bigint)"
+
+
+def sql_uniform(seed: int, *keys: str) -> str:
+    return f"(({sql_draw(seed, *keys)} >> 7) / 9007199254740992.0::double)"
+
+
+def sql_permuted(j: str, size: str, seed: int, *keys: str) -> str:
+    step = f"[{', '.join(map(str, STEPS))}][{sql_draw(seed, repr('step'), *keys)} % {len(STEPS)} + 1]"
+    return f"((({step} % ({size}))::hugeint * ({j}) + {sql_draw(seed, *keys)} % ({size})) % ({size}))::bigint"
 
 
 def sql_digest(seed: int, *keys: str) -> str:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from edgetide.catalog.fixtures import (
-    kv_edges, numbered_transitions, r6, sql, sql_digest, sql_draw, transition_edges,
+    kv_edges, numbered_transitions, r6, sql, sql_digest, sql_draw, sql_permuted, transition_edges,
 )
 from edgetide.catalog.neighborhood import TWO_HOP
 from edgetide.catalog.registry import query
 from edgetide.operators import negatives as ng
 from edgetide.operators.neighbors import two_hop_non_neighbors
-from edgetide.plans.sampling import STEP
+from edgetide.plans.ordered import quantiles
 
 POOL = """su as (select u, row_number() over (order by u) - 1 as u_no from (select distinct u from {p})),
  si as (select i, row_number() over (order by i) - 1 as i_no from (select distinct i from {p}))"""
@@ -24,7 +24,7 @@ def checked_sql(wanted: str, b: int) -> str:
     return f"""known as (select batch, count(*) as n_own from own join su using (u) join si using (i) group by 1),
  ask as (select w.batch, w.need, coalesce(n_own, 0) as n_own, (select count(*) from su) as ns, (select count(*) from si) as nt from {wanted} w left join known using (batch) where need > 0),
  st as (select *, unnest(range(0, least(ns*nt, need + n_own))) as j from ask),
- sp as (select *, ({STEP} * j + {sql_draw(0, 'batch')}) % (ns*nt) as spot from st),
+ sp as (select *, {sql_permuted('j', 'ns*nt', 0, 'batch')} as spot from st),
  pr as (select batch, need, ns*nt - n_own as free, j, su.u, si.i from sp join su on su.u_no = spot // nt join si on si.i_no = spot % nt),
  us as (select *, row_number() over (partition by batch order by j) as r from pr where not exists (select 1 from own where own.batch=pr.batch and own.u=pr.u and own.i=pr.i)),
  fill as (select batch, u, i from (select *, unnest(range(0, greatest(1, case when need > free then ceil((need - r + 1) / free::double)::bigint else 1 end))) as c from us where r <= need))"""
@@ -63,7 +63,7 @@ def prefix_sql(observed: str = "") -> str:
  tb as (select bt.*, (select count(*) from hist where first_us <= start_us) as upto, {low} as low from bt),
  tb2 as (select *, greatest(upto - low, 0) as span from tb),
  hs as (select *, unnest(range(0, least(span, size + pairs))) as j from tb2 where span > 0),
- hp as (select batch, size, low + ({STEP} * j + {sql_draw(0, 'batch')}) % span as spot from hs),
+ hp as (select batch, size, low + {sql_permuted('j', 'span', 0, 'batch')} as spot from hs),
  hc as (select hp.batch, hp.size, hist.u, hist.i from hp join hist using (spot) where not exists (select 1 from own where own.batch=hp.batch and own.u=hist.u and own.i=hist.i)),
  hk as (select *, row_number() over (partition by batch order by {sql_digest(0, 'batch', 'u', 'i')}, u, i) as r from hc),
  pref as (select batch, u, i from hk where r <= size),
@@ -77,14 +77,11 @@ def historical_negatives(spark, sf):
     return ng.historical_negatives(edges, edges)
 
 
-def observed(edges) -> int:
-    return edges.where("idx <= 4000").agg(F.max("ts_us")).first()[0]
-
-
-@query("inductive_negatives", sql("tr", "trn", body=prefix_sql("(select max(ts_us) from trn where idx <= 4000)") + " select * from neg"))
+@query("inductive_negatives", sql("tr", "trn", body=prefix_sql("(select floor(quantile_cont(ts_us, 0.4))::bigint from trn)") + " select * from neg"))
 def inductive_negatives(spark, sf):
     edges = numbered_transitions(spark, sf)
-    return ng.inductive_negatives(edges, edges, observed(edges))
+    observed = int(quantiles(edges, "ts_us", {"t": 0.4}).first()["t"])
+    return ng.inductive_negatives(edges, edges, observed)
 
 
 @query("sampling_mix", sql("tr", "trn", body=prefix_sql() + """, b as (select batch, count(*) filter (where source='preferred') as p, count(*) as n from neg group by 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from edgetide.catalog.fixtures import (
-    kv_edges, r6, raw_logs, sql, sql_draw, table, trade_edges, transition_edges,
+    kv_edges, r6, raw_logs, sql, sql_draw, sql_uniform, table, trade_edges, transition_edges,
 )
 from edgetide.catalog.registry import query
 from edgetide.functions.vectors import one_hot
@@ -39,11 +39,10 @@ def recent_neighbors(spark, sf):
 
 
 @query("recent_neighbors_ties", sql("trade", body="+ " + recent("trade", 3) + """ select q.qidx as idx, q.side, coalesce(l.recent, '') as recent from q
- left join (select qidx, side, string_agg(nidx, ',' order by r desc) as recent from rec group by 1,2) l using (qidx, side) where q.side='src'""".replace(
-    "q.qidx as idx", "q.qidx as idx")))
+ left join (select qidx, side, string_agg(nidx, ',' order by r desc) as recent from rec group by 1,2) l using (qidx, side)"""))
 def recent_neighbors_ties(spark, sf):
     edges = trade_edges(spark, sf)
-    queries = nb.edge_queries(edges).where("side = 'src'")
+    queries = nb.edge_queries(edges)
     text = F.array_join(F.transform("recent", lambda r: r["idx"].cast("string")), ",")
     return nb.recent_neighbors(queries, edges, 3).select("idx", "side", text.alias("recent"))
 
@@ -79,7 +78,7 @@ def uniform_neighbors(spark, sf):
  w2 as (select *, sum(term) over (partition by node order by ts_us, idx, neighbor rows unbounded preceding) as s from w),
  w3 as (select *, exp(term/s) as mass from w2), w4 as (select *, sum(mass) over (partition by node order by ts_us, idx, neighbor rows unbounded preceding) as upto from w3),
  c as (select tr.idx as qid, tr.u as node, max(w4.upto) as total from tr join w4 on w4.node=tr.u and w4.ts_us < tr.ts_us group by 1,2),
- d as (select qid, node, j, {sql_draw(0, 'qid', 'j')} / 4294967296.0::double * total as at from c, (select unnest(range(0, 3)) as j))
+ d as (select qid, node, j, {sql_uniform(0, 'qid', 'j')} * total as at from c, (select unnest(range(0, 3)) as j))
  select qid, cast(j as int) as j, w4.neighbor, w4.idx as nbr_idx from d join w4 on w4.node=d.node and d.at >= w4.upto - w4.mass and d.at < w4.upto"""))
 def time_aware_neighbors(spark, sf):
     edges = transition_edges(spark, sf)
@@ -126,26 +125,27 @@ def neighbor_cooccurrence(spark, sf):
     return nb.neighbor_cooccurrence(transition_edges(spark, sf), 6)
 
 
-@query("neighbor_mean", sql("tr", body="+ " + recent("tr", 10) + """, vec as (select vec_id + 1 as node, cast(embedding[1] as double) as a, cast(embedding[2] as double) as b from embeddings)
- select q.qidx as qid, round(max(o.a) + coalesce(avg(n.a), 0), 6) as a, round(max(o.b) + coalesce(avg(n.b), 0), 6) as b from q join vec o on o.node=q.node
- left join rec on rec.qidx=q.qidx and rec.side=q.side left join vec n on n.node=rec.neighbor where q.side='src' group by 1"""))
+@query("neighbor_mean", sql("tr", body="+ " + recent("tr", 10) + """, vec as (select vec_id + 1 as node, unnest(range(0, 64)) as pos, cast(unnest(embedding) as double) as x from embeddings)
+ select q.qidx as qid, o.pos::int as pos, round(max(o.x) + coalesce(avg(n.x), 0), 6) as value from q join vec o on o.node=q.node
+ left join rec on rec.qidx=q.qidx and rec.side=q.side left join vec n on n.node=rec.neighbor and n.pos=o.pos where q.side='src' group by 1, 2"""))
 def neighbor_mean(spark, sf):
     edges = transition_edges(spark, sf)
     vectors = table(spark, sf, "embeddings").select(
-        (F.col("vec_id") + 1).alias("node"), F.slice("embedding", 1, 2).cast("array<double>").alias("vec")
+        (F.col("vec_id") + 1).alias("node"), F.col("embedding").cast("array<double>").alias("vec")
     )
     queries = edges.select(F.col("idx").alias("qid"), F.col("u").alias("node"), "ts_us")
-    found = nb.neighbor_mean(queries, edges, vectors, 2, gap=10)
-    return found.select("qid", r6(F.col("vec")[0]).alias("a"), r6(F.col("vec")[1]).alias("b"))
+    found = nb.neighbor_mean(queries, edges, vectors, 64, gap=10)
+    return found.select("qid", F.posexplode("vec").alias("pos", "value")).withColumn("value", r6("value"))
 
 
 @query("neighbor_time_features", sql("tr", body="+ " + recent("tr", 4) + """ select qidx as qid, neighbor, nidx as idx, round((rec.at-nts)/1e6, 6) as delta_t, tr.action_type,
- round(cos((rec.at-nts)/1e6 * pow(10.0, -9.0)), 6) as slowest from rec join tr on tr.idx=nidx where side='src'"""))
+ unnest(range(0, 10))::int as pos, round(cos((rec.at-nts)/1e6 * pow(10.0, -unnest(range(0, 10)))), 6) as wave from rec join tr on tr.idx=nidx where side='src'"""))
 def neighbor_time_features(spark, sf):
     edges = transition_edges(spark, sf)
     queries = edges.select(F.col("idx").alias("qid"), F.col("u").alias("node"), "ts_us")
     found = nb.neighbor_time_features(queries, edges, edges.select("idx", "action_type"), 4, dim=10)
-    return found.select("qid", "neighbor", "idx", r6("delta_t").alias("delta_t"), "action_type", r6(F.col("encoding")[9]).alias("slowest"))
+    rows = found.select("qid", "neighbor", "idx", r6("delta_t").alias("delta_t"), "action_type", F.posexplode("encoding").alias("pos", "wave"))
+    return rows.withColumn("wave", r6("wave"))
 
 
 @query("node_recency", sql("trade", body=f"+ {halves('trade')}, {asked('trade')}" + """, m as (select distinct node, ts_us from hf), p as (select node, ts_us, lag(ts_us) over (partition by node order by ts_us) as prev from m)
@@ -171,15 +171,15 @@ def last_message(spark, sf):
 @query("prev_next_event", sql("trade", body="""+ e as (select 'out' as direction, u as node, ts_us, idx, label from trade union all select 'in', i, ts_us, idx, label from trade),
  w as (select node, ts_us, direction, arg_max(label, idx) as last, arg_min(label, idx) as first from e group by 1,2,3),
  p as (select *, lag(last) over z as pl, lag(ts_us) over z as pt, lead(first) over z as nl, lead(ts_us) over z as nt from w window z as (partition by direction, node order by ts_us))
- select trade.idx as qid, case when pt is not null and nt is not null then pl::varchar end as prev_action, case when pt is not null and nt is not null then nl::varchar end as next_action,
+ select trade.idx as qid, p.direction, case when pt is not null and nt is not null then pl::varchar end as prev_action, case when pt is not null and nt is not null then nl::varchar end as next_action,
  case when pt is not null and nt is not null then (p.ts_us-pt)/1e6 else 0 end as prev_gap, case when pt is not null and nt is not null then (nt-p.ts_us)/1e6 else 0 end as next_gap
- from trade join p on p.direction='out' and p.node=trade.u and p.ts_us=trade.ts_us"""))
+ from trade join p on p.ts_us=trade.ts_us and p.node = case p.direction when 'out' then trade.u else trade.i end"""))
 def prev_next_event(spark, sf):
     edges = trade_edges(spark, sf)
     actions = edges.select("idx", F.col("label").cast("string").alias("action_type"))
-    queries = edges.select(F.col("idx").alias("qid"), F.col("u").alias("node"), "ts_us")
-    found = nb.prev_next_event(edges, actions, queries).where("direction = 'out'")
-    return found.select("qid", "prev_action", "next_action", "prev_gap", "next_gap")
+    sides = [(d, edges.select(F.col("idx").alias("qid"), F.col(n).alias("node"), "ts_us")) for d, n in (("out", "u"), ("in", "i"))]
+    found = [nb.prev_next_event(edges, actions, queries).where(F.col("direction") == d) for d, queries in sides]
+    return found[0].unionByName(found[1]).select("qid", "direction", "prev_action", "next_action", "prev_gap", "next_gap")
 
 
 @query("prev_next_one_hot", sql("logs", body="""select id, cast(list_position(['CREATE','DELETE','MODIFY','READ','RENAME','WRITE','MESSAGE','OPEN','START','LOAD','TERMINATE'], action_type) - 1 as int) as pos from logs"""))
@@ -191,7 +191,7 @@ def prev_next_one_hot(spark, sf):
 TWO_HOP = f"""+ {halves('tr')}, met as (select node, neighbor, min(ts_us) as first_us from hf group by 1,2),
  rk as (select *, row_number() over (partition by node order by first_us, neighbor) as rank from met),
  near as (select tr.idx, tr.u, tr.ts_us, rk.neighbor as via, rk.rank from tr join rk on rk.node=tr.u and rk.rank <= 100 and rk.first_us < tr.ts_us),
- far as (select near.*, o.neighbor as far from near join rk o on o.node=near.via and o.rank <= 21 and o.first_us < near.ts_us),
+ far as (select near.*, o.neighbor as far from near join rk o on o.node=near.via and o.first_us < near.ts_us),
  firsts as (select idx, far, min(rank) as rank from far group by 1,2),
  stops as (select idx, rank, sum(count(*)) over (partition by idx order by rank) as total from firsts group by 1,2),
  stop as (select idx, min(rank) as rank from stops where total > 20 group by 1),
@@ -206,8 +206,8 @@ def two_hop_non_neighbors(spark, sf):
     return found.select("idx", F.array_join("two_hop_non_neighbors", ";").alias("two_hop_non_neighbors"))
 
 
-@query("two_hop_candidates", sql("tr", body=TWO_HOP + """ select tr.idx, count(two.far) as candidates from tr left join two using (idx) where label=1 group by 1"""))
+@query("two_hop_candidates", sql("tr", body=TWO_HOP + """ select tr.idx, count(two.far) as candidates from tr left join two using (idx) group by 1"""))
 def two_hop_candidates(spark, sf):
     edges = transition_edges(spark, sf)
-    found = nb.two_hop_candidates(edges.where("label = 1").select("idx"), nb.two_hop_non_neighbors(edges))
+    found = nb.two_hop_candidates(edges.select("idx"), nb.two_hop_non_neighbors(edges))
     return found.select("idx", F.size("two_hop_non_neighbors").cast("long").alias("candidates"))

@@ -94,10 +94,11 @@ def anomalies_by_client_day(spark, sf):
     return logstats.anomalies_by_client_day(flat_events(spark, sf).where("action_type = 'TERMINATE'"))
 
 
-@query("malicious_entities", sql("logs", body="""+ bad as (select * from logs where ord%10=0)
+@query("malicious_entities", sql("logs", "malicious", body="""+ bad as (select l.* from logs l join malicious m on m.hostname=lower(l.hostname) and m.id=l.id)
  select hostname, actor_id as id from bad union select hostname, object_id from bad where object_type='PROCESS'"""))
 def malicious_entities(spark, sf):
-    return logstats.malicious_entities(flat_events(spark, sf).where("ord % 10 = 0"))
+    flat = flat_events(spark, sf)
+    return logstats.malicious_entities(ev.label_edges(flat, malicious_ids(flat)).where("label = 1"))
 
 
 @query("malicious_windows", sql("logs", body="""select distinct hostname, ts_us - ts_us % 900000000 as start_us from logs

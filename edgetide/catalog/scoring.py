@@ -183,7 +183,7 @@ RANKED = """+ f as (select score, sum(label) as p, sum(1-label) as n from scored
 
 
 @query("roc_curve", sql("scored", body=RANKED + """ select round(fp/tot_n::double,6) as fpr, round(tp/tot_p::double,6) as tpr, round(score,6) as threshold from r
- where p2 is null or p2<>p or n2<>n union all select 0.0, 0.0, 'infinity'::double"""))
+ where p2 is null or p2<>p or n2<>n or (tp=p and fp=n) union all select 0.0, 0.0, 'infinity'::double"""))
 def roc_curve(spark, sf):
     return rounded(metrics.roc_curve(scored_links(spark, sf)), "fpr", "tpr").withColumn(
         "threshold", F.when(F.col("threshold") < 2, r6("threshold")).otherwise(F.col("threshold"))
@@ -337,15 +337,15 @@ def bucket_label(spark, sf):
     return reports.bucket_label(half_days(spark, sf))
 
 
-@query("bucket_details", sql("scored", body=BUCKETED.replace("43200000000*43200", "900000000*900") + LOWEST.replace("from b)", "from b where idx%2=0)", 1) + """,
- pl as (select bucket, count(*) as n, avg(score) as m, min(score) as lo from b where idx%2=0 group by 1),
- tr as (select bucket, count(*) filter (where label=0) as benign, count(*) filter (where label=1) as anomalous from b where idx%3<>0 group by 1)
+@query("bucket_details", sql("scored", body=BUCKETED.replace("43200000000*43200", "900000000*900") + LOWEST + """,
+ pl as (select bucket, count(*) as n, avg(score) as m, min(score) as lo from b group by 1),
+ tr as (select bucket, count(*) filter (where label=0) as benign, count(*) filter (where label=1) as anomalous from b group by 1)
  select bucket, coalesce(benign,0) as benign, coalesce(anomalous,0) as anomalous, coalesce(n,0) as predicted_links, round(m,6) as mean_score,
  round(lo,6) as min_score, round(score,6) as bottom_score, cast(coalesce(anomalous,0)>0 as int) as suspicious
  from tr full outer join pl using (bucket) left join bot using (bucket)"""))
 def bucket_details(spark, sf):
     links = reports.bucketed(scored_links(spark, sf))
-    found = reports.bucket_details(links.where("idx % 2 = 0"), links.where("idx % 3 <> 0"))
+    found = reports.bucket_details(links, links)
     return rounded(found, "mean_score", "min_score", "bottom_score")
 
 
@@ -362,12 +362,12 @@ def bucket_threshold_eval(spark, sf):
     return rounded(reports.bucket_threshold_eval(links, links, "bottom", 0.998, invert=True), *RATE_NAMES)
 
 
-@query("bucket_score_histogram", sql("scored", body=BUCKETED + LOWEST + """, w as (select bot.score, l.label from bot join (select bucket, max(label) as label from b where idx%50=0 group by 1) l using (bucket)),
+@query("bucket_score_histogram", sql("scored", body=BUCKETED + LOWEST + """, w as (select bot.score, l.label from bot join (select bucket, max(label) as label from b group by 1) l using (bucket)),
  f as (select min(score) as lo, max(score) as hi, least(200, greatest(50, 2*count(*))) - 1 as bins from w)
  select cast(least(floor((score-lo)*bins/(hi-lo)), bins-1) as bigint) as bin, count(*) filter (where label=0) as benign, count(*) filter (where label=1) as anomalous from w, f group by 1"""))
 def bucket_score_histogram(spark, sf):
     links = half_days(spark, sf)
-    labels = reports.bucket_label(links.where("idx % 50 = 0"))
+    labels = reports.bucket_label(links)
     return metrics.bucket_score_histogram(reports.bucket_score(links).join(labels, "bucket"))
 
 
@@ -404,17 +404,35 @@ def link_report(spark, sf):
     return rounded(reports.link_report(links.where("label = 0"), links.where("label = 1")), "auc", "ap", *RATE_NAMES)
 
 
-@query("report_by_negative_source", sql("scored", body=f"""+ pos as (select score, 1 as label from scored where label=0), src as (select unnest(['historical','inductive','random']) as negative_source),
- x as (select negative_source, score, label from pos, src union all select case idx%3 when 0 then 'random' when 1 then 'historical' else 'inductive' end, score, 0 from scored where label=1)
- select negative_source, p as positives, n as negatives, round(auc,6) as auc, round(ap,6) as ap, round(acc,6) as accuracy, round(pr,6) as precision
- from ({auc_sql('x', 'negative_source')}) a join ({ap_sql('x', 'negative_source')}) b using (negative_source) join
- (select negative_source, sum(label)::bigint as p, sum(1-label)::bigint as n, avg(((score>0.5)::int=label)::int) as acc, sum(case when score>0.5 then label end)/sum((score>0.5)::int)::double as pr from x group by 1) c using (negative_source)"""))
-def report_by_negative_source(spark, sf):
-    links = scored_links(spark, sf)
+def by_source_sql(score: str) -> str:
+    return f"""+ raw as (select idx, {score} as score, label from scored), pos as (select score, 1 as label from raw where label=0),
+ src as (select unnest(['historical','inductive','random']) as negative_source),
+ y as (select negative_source, score, label from pos, src union all select case idx%3 when 0 then 'random' when 1 then 'historical' else 'inductive' end, score, 0 from raw where label=1),
+ lim as (select negative_source, min(score) as lo, max(score) as hi from y group by 1),
+ x as (select negative_source, case when lo<0 or hi>1 then (score-lo)/(hi-lo) else score end as score, label from y join lim using (negative_source)),
+ m as (select negative_source, sum(label)::bigint as positives, sum(1-label)::bigint as negatives, count(*) filter (where score<=0.5 and label=0) as tn, count(*) filter (where score>0.5 and label=0) as fp,
+  count(*) filter (where score<=0.5 and label=1) as fn, count(*) filter (where score>0.5 and label=1) as tp from x group by 1)
+ select m.*, round(auc,6) as auc, round(ap,6) as ap, round((tp+tn)/(positives+negatives)::double,6) as accuracy, round(coalesce(tp/nullif(tp+fp,0)::double,0),6) as precision,
+ round(coalesce(tp/nullif(positives,0)::double,0),6) as recall, round(coalesce(2*tp/nullif(2*tp+fp+fn,0)::double,0),6) as f1
+ from m join ({auc_sql('x', 'negative_source')}) a using (negative_source) join ({ap_sql('x', 'negative_source')}) b using (negative_source)"""
+
+
+def by_source(spark, sf, score):
+    links = scored_links(spark, sf).withColumn("score", score)
     third = F.col("idx") % 3
     source = F.when(third == 0, "random").when(third == 1, "historical").otherwise("inductive")
     wrong = links.where("label = 1").withColumn("negative_source", source)
-    return rounded(reports.report_by_negative_source(links.where("label = 0"), wrong), "auc", "ap", "accuracy", "precision")
+    return rounded(reports.report_by_negative_source(links.where("label = 0"), wrong), "auc", "ap", "accuracy", "precision", "recall", "f1")
+
+
+@query("report_by_negative_source", sql("scored", body=by_source_sql("score")))
+def report_by_negative_source(spark, sf):
+    return by_source(spark, sf, F.col("score"))
+
+
+@query("report_by_negative_source_unbounded", sql("scored", body=by_source_sql("score*3-1")))
+def report_by_negative_source_unbounded(spark, sf):
+    return by_source(spark, sf, F.col("score") * 3 - 1)
 
 
 @query("extreme_predictions", sql("scored", body="""+ ex as (select * from scored where label=0), ne as (select * from scored where label=1),

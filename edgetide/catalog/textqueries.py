@@ -13,21 +13,30 @@ from edgetide.functions.text import last_part
 from edgetide.operators import linkmodel, negatives, textfeatures as tx
 from edgetide.operators.events import text_corpus
 from edgetide.operators.metrics import roc_auc
-from edgetide.plans.ordered import quantiles
+from edgetide.plans.ordered import quantiles, row_numbers
 from edgetide.session import stored
 
-DIM = 4
-# a vocabulary with vectors: the first words of the benchmark items, numbered
-VOCABULARY = """bw as (select item_id, lower(regexp_extract(text, '[A-Za-z]+')) as token from benchmark),
- voc as (select token, min(item_id) as vid from bw where token <> '' group by 1),
- vec as (select token, list_transform(embedding[1:4], lambda x: x::double) as v from voc join embeddings on vec_id=vid)"""
+DIM = 64
+SHORT = 4
+# a vocabulary with vectors: all words of the benchmark items in order, each with the next embedding
+VOCABULARY = """bw as (select distinct unnest(string_split_regex(lower(text), '[^a-z]+')) as token from benchmark),
+ voc as (select token, row_number() over (order by token) - 1 as n from bw where token <> ''),
+ vec as (select token, list_transform(embedding, lambda x: x::double) as v from voc join embeddings on vec_id = n % (select count(*) from embeddings))"""
 TOKENS = "tok as (select doc_id, string_split_regex(lower(text), '[^a-z]+') as tokens from documents)"
 
 
 def vocabulary(spark, sf):
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token"))
+    numbered = row_numbers(words.where("token <> ''").distinct(), ["token"], "n", start=0)
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    count = vectors.agg(F.count("*")).scalar()
+    return numbered.withColumn("vec_id", F.pmod("n", count)).join(vectors, "vec_id").select("token", "vec")
+
+
+def first_words(spark, sf):
     words = table(spark, sf, "benchmark").select("item_id", F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("token"))
     numbered = words.where("token <> ''").groupBy("token").agg(F.min("item_id").alias("vec_id"))
-    vectors = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, DIM).cast("array<double>").alias("vec"))
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, SHORT).cast("array<double>").alias("vec"))
     return numbered.join(vectors, "vec_id").select("token", "vec")
 
 
@@ -55,10 +64,9 @@ def train_token_vectors(spark, sf):
 
 def mean_sql(weight: str) -> str:
     return f"""+ {VOCABULARY}, {TOKENS}, t as (select doc_id, unnest(tokens) as token, unnest(range(0, len(tokens))) as k, len(tokens) as n from tok),
- m as (select doc_id, [avg(v[1]*({weight})), avg(v[2]*({weight})), avg(v[3]*({weight})), avg(v[4]*({weight}))] as v from t join vec using (token) group by 1),
- al as (select [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] as v from vec),
- o as (select doc_id, coalesce(m.v, al.v) as v from documents left join m using (doc_id), al)
- select doc_id, unnest([0,1,2,3])::int as pos, round(unnest(v), 6) as value from o"""
+ m as (select doc_id, pos, avg(x*({weight})) as x from (select doc_id, k, n, unnest(range(0, {DIM})) as pos, unnest(v) as x from t join vec using (token)) group by 1,2),
+ al as (select pos, avg(x) as x from (select unnest(range(0, {DIM})) as pos, unnest(v) as x from vec) group by 1)
+ select documents.doc_id, al.pos::int as pos, round(coalesce(m.x, al.x), 6) as value from documents cross join al left join m on m.doc_id=documents.doc_id and m.pos=al.pos"""
 
 
 @query("mean_token_vector", "with " + mean_sql("1").removeprefix("+ "))
@@ -84,17 +92,16 @@ def similar_tokens(spark, sf):
 
 @query("impute_unknown_tokens")
 def impute_unknown_tokens(spark, sf):
-    found = tx.impute_unknown_tokens(tokens(spark, sf), vocabulary(spark, sf), DIM, key="doc_id")
-    return found.select("doc_id", "pos", "token", *[r6(F.col("vec")[n]).alias(f"v{n}") for n in range(DIM)])
+    found = tx.impute_unknown_tokens(tokens(spark, sf), first_words(spark, sf), SHORT, key="doc_id")
+    return found.select("doc_id", "pos", "token", *[r6(F.col("vec")[n]).alias(f"v{n}") for n in range(SHORT)])
 
 
-@query("entity_features", sql("logs", body="""+ v as (select vec_id, list_transform(embedding[1:4], lambda x: x::double) as e from embeddings where vec_id < 100),
+@query("entity_features", sql("logs", body="""+ v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
  x as (select id, object_type, v.e from logs left join v on v.vec_id=cast(pid as int))
- select id, unnest(range(0,6))::int as pos, round(unnest([(object_type='PROCESS')::int::double, (object_type='FILE')::int::double, coalesce(e[1],0), coalesce(e[2],0), coalesce(e[3],0), coalesce(e[4],0)]),6) as value from x"""))
+ select id, unnest(range(0,66))::int as pos, round(unnest([(object_type='PROCESS')::int::double, (object_type='FILE')::int::double] || coalesce(e, list_transform(range(0,64), lambda n: 0.0::double))),6) as value from x"""))
 def entity_features(spark, sf):
     logs = raw_logs(spark, sf).select("id", "object", F.col("pid").cast("long").alias("vec_id"))
-    vectors = table(spark, sf, "embeddings").where("vec_id < 100").select(
-        "vec_id", F.slice("embedding", 1, DIM).cast("array<double>").alias("vec"))
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
     text = logs.join(vectors, "vec_id").select("id", "vec")
     found = tx.entity_features(logs, "object", text, tx.NODE_FEATURE_TYPES, DIM)
     return elements(found, "id", "features")

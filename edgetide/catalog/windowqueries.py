@@ -178,13 +178,13 @@ def process_text_encoding(spark, sf):
     return found.withColumn("value", r6("value"))
 
 
-@query("attach_window_features", sql("logs", body="""+ f as (select actor_id as node, ts_us // 86400000000 * 86400 as bucket, count(*)::double as a, max(ord)::double as b from logs where ord%2=0 group by 1,2),
+@query("attach_window_features", sql("logs", body="""+ f as (select actor_id as node, ts_us // 86400000000 * 86400 as bucket, count(*)::double as a, max(ord)::double as b from logs group by 1,2),
  e as (select id, actor_id as src, replace(object_id,'o','p') as dst, ts_us // 86400000000 * 86400 as bucket from logs)
  select id, coalesce(s.a,0.0) as src_a, coalesce(s.b,0.0) as src_b, coalesce(d.a,0.0) as dst_a, (s.a is null)::int + (d.a is null)::int as missing
  from e left join f s on s.node=e.src and s.bucket=e.bucket left join f d on d.node=e.dst and d.bucket=e.bucket"""))
 def attach_window_features(spark, sf):
     flat = flat_events(spark, sf).withColumn("bucket", epoch_bucket("ts_us", 86400))
-    features = flat.where("ord % 2 = 0").groupBy(F.col("actor_id").alias("node"), "bucket").agg(
+    features = flat.groupBy(F.col("actor_id").alias("node"), "bucket").agg(
         F.array(F.count("*").cast("double"), F.max("ord").cast("double")).alias("vec")
     )
     edges = flat.select("id", F.col("actor_id").alias("src"), F.replace("object_id", F.lit("o"), F.lit("p")).alias("dst"), "bucket")

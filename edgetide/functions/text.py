@@ -44,12 +44,16 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+# white space of any script at either end
+END_SPACE = r"^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+|[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$"
+
+
 def normalize_cmdline(command) -> Column:
     """Lower-cased command with users, temp files, ids, addresses and numbers replaced by markers."""
     text = F.lower(_col(command))
     for pattern, replacement in COMMAND_REWRITES:
         text = F.regexp_replace(text, pattern, replacement)
-    return F.trim(text)
+    return F.regexp_replace(text, END_SPACE, "")
 
 
 def _without_first(tokens: Column, value: str) -> Column:

@@ -74,12 +74,12 @@ def roc_curve(scored: DataFrame, score: str = "score", label: str = "label", dro
     """(fpr, tpr, threshold) from the highest score down, opened by (0, 0, infinity).
 
     ``drop_intermediate`` leaves out points on a straight line between their neighbours, as the usual
-    library does.
+    library does; the point of the highest score always stays.
     """
     ranked = ranked_scores(scored, (), score, label).withColumn("threshold", F.col(score).cast("double"))
     if drop_intermediate:
         ahead = next_row(ranked, [], [F.col("threshold").desc()], {"_p2": "_p", "_n2": "_n"})
-        ranked = ahead.where("_p2 is null or _p2 <> _p or _n2 <> _n")
+        ranked = ahead.where("_p2 is null or _p2 <> _p or _n2 <> _n or (tp = _p and fp = _n)")
     points = ranked.select(
         F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"), "threshold"
     )

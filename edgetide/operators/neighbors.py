@@ -284,21 +284,19 @@ def two_hop_non_neighbors(edges: DataFrame, max_neighbors: int = 100, stop_after
     """Per edge: a sample of nodes two hops from u over strictly earlier edges, without u and its neighbours.
 
     A sampling operator: at most ``max_neighbors`` neighbours are expanded, and expansion stops after the
-    neighbour that brings the collected nodes above ``stop_after``; each neighbour offers its first
-    ``stop_after + 1``. Neighbours are taken in the order they were first met, so the choice at any time is a
+    neighbour that brings the collected nodes above ``stop_after``. A neighbour offers all nodes it met before the edge,
+    so a list can be as long as the contacts of its last neighbour. Neighbours are taken in the order they were first met, so the choice at any time is a
     prefix of one fixed list per node. That list is built once per node and every edge reads it, instead of
     expanding all pairs around a hub again for every edge.
     """
     met = first_contacts(edges)
     order = Window.partitionBy("node").orderBy("first_us", "neighbor")
-    ranked = met.withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= max(max_neighbors, stop_after + 1)
-    )
-    offers = ranked.where(F.col("rank") <= stop_after + 1).select(
+    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_neighbors)
+    offers = met.select(
         F.col("node").alias("via"), F.col("neighbor").alias("far"), F.col("first_us").alias("far_us"),
-        F.col("rank").alias("far_rank"),
+        F.col("first_us").alias("far_rank"),
     )
-    near = ranked.where(F.col("rank") <= max_neighbors).select(
+    near = ranked.select(
         "node", "rank", F.col("neighbor").alias("via"), F.col("first_us").alias("via_us")
     )
     direct = met.select("node", F.col("neighbor").alias("far"), F.col("first_us").alias("direct_us"))

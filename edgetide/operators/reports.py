@@ -154,7 +154,8 @@ def link_report(positives: DataFrame, negatives: DataFrame, threshold: float = 0
 
 
 def report_by_negative_source(positives: DataFrame, negatives: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``link_report`` of all positives against each ``negative_source``, in one pass.
+    """``link_report`` of all positives against each ``negative_source``, in one pass: AUC, average precision, confusion
+    counts, accuracy, precision, recall and F1 (0 where undefined).
 
     Positives are folded to distinct scores before they are repeated per source.
     """
@@ -164,16 +165,27 @@ def report_by_negative_source(positives: DataFrame, negatives: DataFrame, thresh
     spread = folded.withColumn("negative_source", F.explode(listed))
     counted = negatives.groupBy("negative_source", "score").agg(F.count("*").alias("n")).withColumn("p", F.lit(0).cast("long"))
     both = spread.unionByName(counted).groupBy("negative_source", "score").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    limits = both.groupBy("negative_source").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     ranked = running_totals(both, ["negative_source"], [F.col("score").desc()], {"tp": F.col("_p"), "fp": F.col("_n")})
-    above = F.col("score") > threshold
+    ranked = ranked.join(limits, "negative_source")  # one row per sampler
+    # scores outside [0, 1] are squashed over the positives and the negatives of the source
+    outside = (F.col("_lo") < 0) | (F.col("_hi") > 1)
+    squashed = F.when(outside, F.try_divide(F.col("score") - F.col("_lo"), F.col("_hi") - F.col("_lo"))).otherwise(F.col("score"))
+    above = F.coalesce(squashed > threshold, F.lit(False))
     wins = F.sum(F.col("_n").cast("double") * (F.col("tp") - F.col("_p") / F.lit(2.0)))
     total_p, total_n = F.sum("_p"), F.sum("_n")
     # average precision is sum(_p * precision) over all positives
-    return ranked.groupBy("negative_source").agg(
+    found = ranked.groupBy("negative_source").agg(
         total_p.alias("positives"), total_n.alias("negatives"),
         F.try_divide(wins, total_p.cast("double") * total_n).alias("auc"),
         F.try_divide(F.sum(F.col("_p") * F.col("tp") / (F.col("tp") + F.col("fp"))), total_p).alias("ap"),
-        (F.sum(F.when(above, F.col("_p")).otherwise(F.col("_n"))) / (total_p + total_n)).alias("accuracy"),
-        F.try_divide(F.sum(F.when(above, F.col("_p")).otherwise(F.lit(0))),
-                     F.sum(F.when(above, F.col("_p") + F.col("_n")).otherwise(F.lit(0)))).alias("precision"),
+        F.sum(F.when(above, F.lit(0)).otherwise(F.col("_n"))).alias("tn"), F.sum(F.when(above, F.col("_n")).otherwise(F.lit(0))).alias("fp"),
+        F.sum(F.when(above, F.lit(0)).otherwise(F.col("_p"))).alias("fn"), F.sum(F.when(above, F.col("_p")).otherwise(F.lit(0))).alias("tp"),
+    )
+    none = F.lit(0.0)
+    return found.select(
+        "*", ((F.col("tp") + F.col("tn")) / (F.col("positives") + F.col("negatives"))).alias("accuracy"),
+        F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), none).alias("precision"),
+        F.coalesce(F.try_divide("tp", "positives"), none).alias("recall"),
+        F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), none).alias("f1"),
     )

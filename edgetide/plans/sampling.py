@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from edgetide.plans.ordered import row_numbers
 
-# Fixed value: a prime above any table size, so stepping by it visits every residue once.
-STEP = 1_000_000_000_039
+BITS = 60
+# Primes above any table size; stepping by one of them visits every residue of a smaller size once.
+STEPS = (
+    1152921504606847009, 1152921504606847067, 1152921504606847081, 1152921504606847123,
+    1152921504606847127, 1152921504606847189, 1152921504606847201, 1152921504606847229,
+)
 
 
 def digest(seed: int, *keys) -> Column:
@@ -18,18 +22,25 @@ def digest(seed: int, *keys) -> Column:
 
 
 def draw(seed: int, *keys) -> Column:
-    """Uniform integer in [0, 2**32) from the digest."""
-    return F.conv(F.substring(digest(seed, *keys), 1, 8), 16, 10).cast("long")
+    """Uniform integer in [0, 2**60) from the digest."""
+    return F.conv(F.substring(digest(seed, *keys), 1, BITS // 4), 16, 10).cast("long")
 
 
 def uniform(seed: int, *keys) -> Column:
-    """Uniform double in [0, 1)."""
-    return draw(seed, *keys) / F.lit(float(1 << 32))
+    """Uniform double in [0, 1), of 53 random bits."""
+    return F.shiftright(draw(seed, *keys), BITS - 53) / F.lit(float(1 << 53))
 
 
 def permuted(j: Column, size: Column, seed: int, *keys) -> Column:
-    """The ``j``-th element of a seeded permutation of [0, size): distinct for distinct ``j`` < size."""
-    return F.pmod(F.lit(STEP) * j + draw(seed, *keys), size)
+    """The ``j``-th element of a seeded permutation of [0, size), size < 2**60: distinct for distinct ``j`` < size.
+
+    Start and step are drawn per key. The step is a prime above ``size`` taken modulo ``size``, so it is coprime to the
+    size and as large as the size allows; products are computed in 38 digits.
+    """
+    chosen = F.get(F.array(*[F.lit(p) for p in STEPS]), (draw(seed, F.lit("step"), *keys) % len(STEPS)).cast("int"))
+    wide = lambda c: c.cast("decimal(19,0)")
+    moved = wide(F.pmod(chosen, size)) * wide(j) + F.pmod(draw(seed, *keys), size)
+    return F.pmod(moved, wide(size)).cast("long")
 
 
 def smallest_digests(rows: DataFrame, wanted: Column, seed: int, key: str) -> DataFrame:

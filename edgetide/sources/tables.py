@@ -55,7 +55,7 @@ def read_scores(spark: SparkSession, folder: str, split: str | None = None) -> D
 
 def write_report(metrics: DataFrame, folder: str) -> None:
     """A report is a table of a few rows; it is written as JSON lines in one file."""
-    metrics.coalesce(1).write.mode("overwrite").json(folder)
+    metrics.repartition(1).write.mode("overwrite").json(folder)
 
 
 def table_profile(edges: DataFrame, nodes: DataFrame, node_vector: str | None = None,
