@@ -44,7 +44,7 @@ def fingerprint(text: str, words: int = WORDS) -> int:
         hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1:] - 1).tolist())], "<u8")
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
-        ones += np.unpackbits(hashes[at:at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        ones += np.unpackbits(hashes[at:at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
