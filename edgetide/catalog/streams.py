@@ -51,6 +51,6 @@ def stream_node_recency(spark, sf):
 def stream_adaptive_alerts(spark, sf):
     calibration = scored_links(spark, sf).where("idx % 3 = 0")
     scored = scored_of(event_stream(spark, sf)).where("idx % 3 <> 0")
-    stream = scored.select(F.lit("all").alias("stream"), "idx", "score")
+    stream = scored.select(F.concat(F.lit("h"), (F.col("src") % 5).cast("string")).alias("stream"), "idx", "score")
     found = st.replay(st.stream_adaptive_alerts(stream, calibration))
     return found.select("stream", "idx", r6("level").alias("level"), r6("threshold").alias("threshold"), "alert")

