@@ -10,6 +10,8 @@ tables hold at most one row per partition, which is what makes broadcasting them
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +53,15 @@ def _attach(placed: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFra
     return placed.join(F.broadcast(carry), [PART, *keys], "left")
 
 
+def _ends(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per partition: its last key, the partition after it and whether the key goes on there."""
+    ends = placed.groupBy(PART).agg(F.min(F.struct(*keys)).alias("_first"), F.max(F.struct(*keys)).alias("_final"))
+    line = _over_parts([])
+    linked = ends.select(
+        PART, "_final", F.lead("_first").over(line).alias("_next_first"), F.lead(PART).over(line).alias("_next_part"))
+    return linked.select(PART, "_final.*", "_next_part", (F.col("_final") == F.col("_next_first")).alias("_goes_on"))
+
+
 def row_numbers(df: DataFrame, order: Sequence, name: str, start: int = 1) -> DataFrame:
     """Dense global numbering of rows in ``order``."""
     placed = range_sorted(df, *order)
@@ -67,13 +78,19 @@ def running_totals(
     """Inclusive running sums per ``within`` key (non-null), rows in ``order``."""
     inputs = df.select("*", *[expr.alias(f"_in_{n}") for n, expr in sums.items()])
     placed = range_sorted(inputs, *within, *order)
-    totals = placed.groupBy(PART, *within).agg(*[F.sum(f"_in_{n}").alias(f"_in_{n}") for n in sums])
-    before = _over_parts(within).rowsBetween(Window.unboundedPreceding, -1)
-    # only keys continuing from an earlier partition have something to carry: one per partition at most
-    carry = totals.select(
-        PART, *within, F.count("*").over(before).alias("_seen"),
-        *[F.sum(f"_in_{n}").over(before).alias(f"_base_{n}") for n in sums],
-    ).where("_seen > 0").drop("_seen")
+    parts = [F.sum(f"_in_{n}").alias(f"_in_{n}") for n in sums]
+    if within:
+        # only the last key of a partition can go on in the next one: one row per partition is summed and carried
+        ends = _ends(placed, within).where("_goes_on")
+        totals = placed.join(F.broadcast(ends.select(PART, *within, "_next_part")), [PART, *within]).groupBy(
+            PART, *within, "_next_part").agg(*parts)
+        so_far = _over_parts(within).rowsBetween(Window.unboundedPreceding, 0)
+        carry = totals.select(
+            F.col("_next_part").alias(PART), *within, *[F.sum(f"_in_{n}").over(so_far).alias(f"_base_{n}") for n in sums])
+    else:
+        before = _over_parts([]).rowsBetween(Window.unboundedPreceding, -1)
+        carry = placed.groupBy(PART).agg(*parts).select(
+            PART, *[F.sum(f"_in_{n}").over(before).alias(f"_base_{n}") for n in sums])
     local = _in_part(within).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = placed.select("*", *[F.sum(f"_in_{n}").over(local).alias(n) for n in sums])
     out = _attach(summed, carry, within)
@@ -86,9 +103,13 @@ def next_row(df: DataFrame, within: Sequence[str], order: Sequence, values: Mapp
     """Adds, for each ``new: column`` in ``values``, the column's value in the following row of the key."""
     placed = range_sorted(df, *within, *order)
     payload = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
-    heads = placed.groupBy(PART, *within).agg(F.min_by(payload, POS).alias("_next_head"))
-    following = F.lead("_next_head").over(_over_parts(within))
-    carry = heads.select(PART, *within, following.alias("_carry")).where("_carry is not null")
+    # the first row of a partition follows the last row of the one before it
+    first, last = F.struct(*within, payload.alias("_carry")), F.struct(*within, F.lit(0).alias("_all"))
+    heads = placed.groupBy(PART).agg(F.min_by(first, POS).alias("_head"), F.max_by(last, POS).alias("_last"))
+    following = heads.select(PART, "_last", F.lead("_head").over(_over_parts([])).alias("_head"))
+    same = [F.col(f"_last.{c}") == F.col(f"_head.{c}") for c in within]
+    carry = following.where(reduce(and_, same, F.col("_head").isNotNull())).select(
+        PART, *[F.col(f"_last.{c}").alias(c) for c in within], "_head._carry")
     out = _attach(placed.withColumn("_next", F.lead(payload).over(_in_part(within))), carry, within)
     out = out.withColumn("_next", F.coalesce("_next", "_carry"))
     kept = [c for c in df.columns if c not in values]
@@ -164,13 +185,7 @@ def last_before(
     local = placed.withColumn("_slot", slot).withColumn("_local", F.flatten(F.collect_list("_items").over(frame)))
 
     # across partitions: the tail of the key that continues into the next partition, one row per partition
-    head, tail = F.struct(*keys), F.struct(*keys)
-    ends = placed.groupBy(PART).agg(F.min(head).alias("_first"), F.max(tail).alias("_final"))
-    linked = ends.select(
-        PART, "_final",
-        F.lead("_first").over(_over_parts([])).alias("_next_first"),
-        F.lead(PART).over(_over_parts([])).alias("_next_part"),
-    ).where(F.col("_final") == F.col("_next_first")).select(PART, "_next_part", "_final.*")
+    linked = _ends(placed, keys).where("_goes_on").select(PART, "_next_part", *keys)
     latest = Window.partitionBy(PART, *keys).orderBy(F.col(at).desc())
     tails = (
         placed.where("_items is not null").join(F.broadcast(linked), [PART, *keys])
@@ -203,9 +218,17 @@ def last_at_or_before(
     marks = points.select(*keys, at, F.lit(0).alias("_kind"), found.alias("_point"))
     asks = queries.select(*keys, at, F.lit(1).alias("_kind"), row.alias("_row"))
     placed = range_sorted(marks.unionByName(asks, allowMissingColumns=True), *keys, at, "_kind")
-    tails = placed.groupBy(PART, *keys).agg(F.max_by("_point", F.when(F.col("_kind") == 0, F.col(POS))).alias("_tail"))
-    before = _over_parts(keys).rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(PART, *keys, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
+    latest = F.max_by("_point", F.when(F.col("_kind") == 0, F.col(POS))).alias("_tail")
+    if keys:
+        # only the last key of a partition can go on in the next one
+        ends = _ends(placed, keys).where("_goes_on").select(PART, *keys, "_next_part")
+        tails = placed.join(F.broadcast(ends), [PART, *keys]).groupBy(PART, *keys, "_next_part").agg(latest)
+        so_far = _over_parts(keys).rowsBetween(Window.unboundedPreceding, 0)
+        carry = tails.select(
+            F.col("_next_part").alias(PART), *keys, F.last("_tail", ignorenulls=True).over(so_far).alias("_carry"))
+    else:
+        before = _over_parts([]).rowsBetween(Window.unboundedPreceding, -1)
+        carry = placed.groupBy(PART).agg(latest).select(PART, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
     carry = carry.where("_carry is not null")
     local = F.last("_point", ignorenulls=True).over(
         _in_part(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
