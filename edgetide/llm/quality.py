@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgetide.llm.common import held_out, sampled, whole_text
+from edgetide.llm.common import held_out, sampled, small, whole_text
 
 STRIDE, WIDTH = 4, 8
 BLOCK = 256  # a chunk is two neighbouring blocks, and chunks overlap by one
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Col
     marked = known.groupBy("doc_id").agg((F.avg((F.col(label) > 0).cast("int")) >= 0.5).cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = counts.get(1, 0), counts.get(0, 0)
-    texts = docs.select("doc_id", "text").join(sampled(marked, "label", ["doc_id"], sample), "doc_id")
+    texts = docs.select("doc_id", "text").join(small(sampled(marked, "label", ["doc_id"], sample)), "doc_id")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
