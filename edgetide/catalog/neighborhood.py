@@ -125,7 +125,7 @@ def neighbor_cooccurrence(spark, sf):
     return nb.neighbor_cooccurrence(transition_edges(spark, sf), 6)
 
 
-@query("neighbor_mean", sql("tr", body="+ " + recent("tr", 10) + """, vec as (select vec_id + 1 as node, unnest(range(0, 64)) as pos, cast(unnest(embedding) as double) as x from embeddings)
+@query("neighbor_mean", sql("tr", body="+ " + recent("tr", 2000) + """, vec as (select vec_id + 1 as node, unnest(range(0, 64)) as pos, cast(unnest(embedding) as double) as x from embeddings)
  select q.qidx as qid, o.pos::int as pos, round(max(o.x) + coalesce(avg(n.x), 0), 6) as value from q join vec o on o.node=q.node
  left join rec on rec.qidx=q.qidx and rec.side=q.side left join vec n on n.node=rec.neighbor and n.pos=o.pos where q.side='src' group by 1, 2"""))
 def neighbor_mean(spark, sf):
@@ -134,7 +134,7 @@ def neighbor_mean(spark, sf):
         (F.col("vec_id") + 1).alias("node"), F.col("embedding").cast("array<double>").alias("vec")
     )
     queries = edges.select(F.col("idx").alias("qid"), F.col("u").alias("node"), "ts_us")
-    found = nb.neighbor_mean(queries, edges, vectors, 64, gap=10)
+    found = nb.neighbor_mean(queries, edges, vectors, 64)
     return found.select("qid", F.posexplode("vec").alias("pos", "value")).withColumn("value", r6("value"))
 
 

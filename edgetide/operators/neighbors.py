@@ -187,13 +187,24 @@ def neighbor_mean(
 
     ``queries`` needs ``qid``; ``vectors`` is (node, vec). ``divisor="padded"`` divides the mean once more by ``gap``.
     """
-    found = recent_neighbors(queries, edges, gap)
-    members = found.select("qid", F.explode("recent").alias("_r")).select("qid", F.col("_r.neighbor").alias("node"))
-    # a neighbour met several times is looked up once and weighted
-    weighted = members.groupBy("qid", "node").agg(F.count("*").alias("w")).join(vectors, "node")
-    sums = weighted.groupBy("qid").agg(
-        F.array(*[F.sum(F.col("vec")[n] * F.col("w")) for n in range(dim)]).alias("_sum"), F.sum("w").alias("_n")
-    )
+    # running totals along each node's time line: the sum over a gap is a difference of two of its rows, no list is built
+    met = half_edges(edges).join(vectors.select(F.col("node").alias("neighbor"), F.col("vec").alias("_vec")), "neighbor", "left")
+    names = [f"_s{n}" for n in range(dim)]
+    parts = {"spot": F.lit(1), "_known": F.col("_vec").isNotNull().cast("long")}
+    parts |= {name: F.coalesce(F.col("_vec")[n], F.lit(0.0)) for n, name in enumerate(names)}
+    line = running_totals(met, ["node"], ["ts_us", "idx", "neighbor"], parts)
+    line = line.select("node", "spot", "_known", F.array(*names).alias("_sums"))
+
+    def at(spot: str, name: str) -> DataFrame:
+        return line.select("node", F.col("spot").alias(spot), F.struct("_known", "_sums").alias(name))
+
+    counted = earlier_counts(queries.select("qid", "node", "ts_us"), node_timeline(edges)).where("earlier > 0")
+    counted = counted.select("qid", "node", "earlier", (F.col("earlier") - gap).alias("_before"))
+    ends = counted.join(at("earlier", "_end"), ["node", "earlier"]).join(at("_before", "_start"), ["node", "_before"], "left")
+    known = F.col("_end._known") - F.coalesce("_start._known", F.lit(0))
+    # vectors of a node without earlier neighbours, or only unknown ones, stay as they are
+    summed = F.zip_with(F.col("_end._sums"), F.coalesce("_start._sums", zeros(dim)), lambda x, y: x - y)
+    sums = ends.select("qid", summed.alias("_sum"), known.alias("_n")).where("_n > 0")
     scale = F.col("_n") * F.lit(gap) if divisor == "padded" else F.col("_n")
     mean = F.coalesce(F.transform("_sum", lambda x: x / scale), zeros(dim))
     own = queries.join(vectors, "node", "left").join(sums, "qid", "left")

@@ -51,6 +51,21 @@ def test_normalize_cmdline_strips_all_white_space(spark):
     assert [r[0] for r in rows.select(text.normalize_cmdline("t")).collect()] == ["run", "x", None]
 
 
+def test_neighbor_mean_over_ties_and_gaps(spark):
+    edges = [(n + 1, 1, 10 + n % 4, 100 + n // 5) for n in range(40)]  # five interactions at each moment
+    frame = spark.createDataFrame(edges, "idx long, u long, i long, ts_us long").withColumn("label", F.lit(0))
+    vectors = {10: [1.0, 0.0], 11: [0.0, 2.0], 12: [4.0, 4.0], 1: [0.5, 0.5]}
+    known = spark.createDataFrame(list(vectors.items()), "node long, vec array<double>")
+    queries = frame.select(F.col("idx").alias("qid"), F.col("u").alias("node"), "ts_us")
+    for gap in (3, 7, 2000):
+        found = {r["qid"]: r["vec"] for r in neighbors.neighbor_mean(queries, frame, known, 2, gap=gap).collect()}
+        for idx, u, _, ts in edges:
+            line = [i for _, _, i, t in edges if t < ts][-gap:]
+            seen = [vectors[i] for i in line if i in vectors]
+            expected = [0.5 + (sum(v[d] for v in seen) / len(seen) if seen else 0.0) for d in (0, 1)]
+            assert found[idx] == pytest.approx(expected)
+
+
 def test_two_hop_takes_a_neighbours_whole_set(spark):
     edges = [(n + 1, 500, 1000 + n, 10 + n) for n in range(60)] + [(61, 1, 500, 100), (62, 1, 2, 200)]
     frame = spark.createDataFrame(edges, "idx long, u long, i long, ts_us long").withColumn("label", F.lit(0))
