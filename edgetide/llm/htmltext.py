@@ -30,7 +30,8 @@ ASIDE_WORDS = frozenset(
     "footer foot cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login search form share sharing social related recommended recommendations comment comments respond "
     "reply replies disqus pagination pager copyright legal disclaimer skip tags".split())
-HEAD_WORDS = frozenset("header head".split())
+ASIDE_ENDINGS = tuple("menu nav navbar navigation sidebar footer banner comments adverts cookies newsletter".split())
+HEAD_WORDS = frozenset("header head siteheader pageheader".split())
 ARTICLE_WORDS = frozenset("article post entry story content main maincontent articlebody postbody".split())
 WRAPPER_WORDS = frozenset("with has no wrap wrapper container layout page".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -42,7 +43,8 @@ TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[A-Za-z]+")
+HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 NONE, HINTED, CERTAIN = 0, 1, 2
 
 
@@ -60,12 +62,13 @@ def region(name: str, attributes: str, aside: int, article: bool) -> tuple[int,
     words, roles = set(), set()
     if name not in ("html", "body") and attributes:
         for key, *values in NAMED.findall(attributes):
-            found = WORD.findall("".join(values).lower())
-            (roles if key.lower() == "role" else words).update(found)
+            for word in WORD.findall("".join(values)):  # as written and, for sideBar, in parts
+                (roles if key.lower() == "role" else words).update((word.lower(), *map(str.lower, HUMP.findall(word))))
     if name in ASIDE or name in CONTROLS or roles & ASIDE_ROLES:
         return CERTAIN, article
     heading = name == "header" or bool(words & HEAD_WORDS)
-    if words & ASIDE_WORDS and not words & WRAPPER_WORDS:
+    around = words & ASIDE_WORDS or any(w.endswith(ASIDE_ENDINGS) for w in words)
+    if around and not words & WRAPPER_WORDS:
         comments = words & {"comment", "comments", "respond", "reply", "replies", "disqus"}
         return CERTAIN if comments or name == "article" else max(aside, HINTED), article
     if name in ("article", "main") or "main" in roles:

@@ -25,6 +25,8 @@ ARTICLE = "<article><h1>Title</h1><p>First <b>bold</b> &amp; <a href='x'>link</a
     ("<article><p title=\"a > b\">quoted</p><p>cut off <a hre", "quoted\n\ncut off"),
     ("<article><p>tail</p><!-- never closed <p>x</p>", "tail"),
     ("<html><head><title>T</title></head><body class='has-nav no-sidebar'><article><p>Body</p></article>", "Body"),
+    ("<article><p>Kept</p><div id='sideBar'>a</div><div class='MainMenu'>b</div><p class='siteFooter'>c</p><div class='postbody'><p>Too</p></div></article>", "Kept\n\nToo"),
+    ("<div class='post'><div class='post-header'><h2>Head</h2></div><p>Short.</p></div><div class='user-comments'><p>Some words of a reader.</p></div>", "Head\n\nShort."),
     ("", ""), ("   ", ""), ("<nav>only</nav>", ""),
 ])
 def test_pages(page, expected):
