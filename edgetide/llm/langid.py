@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgetide.llm.common import fresh, held_out, sampled, whole_text
+from edgetide.llm.common import fresh, held_out, sampled, small, whole_text
 
 ORDERS = 4  # n-grams of one to so many characters
 BITS = 16
@@ -108,7 +108,7 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
     """Counts n-grams of ``text`` by ``lang`` over a bounded sample of the rows where ``learn`` holds."""
     rows = docs.where(learn).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     chosen = sampled(rows.select("doc_id", "lang"), "lang", ["doc_id"], sample).select("doc_id").distinct()
-    texts = rows.join(chosen, "doc_id", "left_semi")
+    texts = rows.join(small(chosen), "doc_id", "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
