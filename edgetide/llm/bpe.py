@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from edgetide.llm.common import fresh, whole_text
 
-CACHED = 200_000  # pre-tokens remembered per task
+CACHED = 100_000  # pre-tokens remembered per task
 SHORT = 64  # longer pre-tokens are not remembered
 
 

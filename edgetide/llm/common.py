@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DRAW = 1 << 40
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:

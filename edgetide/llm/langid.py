@@ -26,7 +26,7 @@ SAMPLE = 600  # documents of each language, about, that n-grams are counted in
 SWITCH = 12.0  # log-likelihood that a change of language has to bring
 FOREIGN = -10.0  # for each letter of a word, if the language is not written in its script
 SMOOTH = 0.1
-REMEMBERED = 400_000  # words whose scores a task remembers
+REMEMBERED = 200_000  # words whose scores a task remembers
 TOGETHER = 200  # texts scored together
 
 # Unicode ranges of scripts (first, last code point).
