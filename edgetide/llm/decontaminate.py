@@ -4,10 +4,15 @@ Numbers, units and names become typed placeholders, so a question whose values w
 of eight template tokens are hashed and joined with the windows of the benchmark items. Matching windows on one
 alignment of document and item are put together, compared token by token, and their slots must be consistent:
 equal values of the item have to stand for equal values of the document.
+
+``leaks`` follows that rule alone. ``held_items`` also finds copies by their words as they are, items of any length and
+items with replaced words: its seeds are windows of templates and of words, as long as the item allows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +26,7 @@ SHORTEST = 4  # items with fewer tokens can't be told from ordinary prose and ne
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 SPACE = r"[ \t\n\x0B\f\r\x01-\x03]+"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"  # scripts without blanks
 
 # Units, as they stand after a number.
 UNITS = (
@@ -143,9 +149,165 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return contaminated(docs, benchmark).select("doc_id", "item_id", "n_matched", "n_tokens", "changed")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    hits = stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct())
+def _spelled(text: Column) -> Column:
+    """The text with every character of a script without blanks as a token of its own."""
+    return F.when(text.rlike(UNSPACED), F.regexp_replace(text, UNSPACED, " $1 ")).otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    """Tokens in lower case without punctuation: a word is empty where its template token is."""
+    return F.split(F.lower(F.regexp_replace(F.regexp_replace(text, SPACE, " "), rf"{PUNCTUATION}+", "")), " ")
+
+
+def _run_hashes(rows: DataFrame, tokens: list[str], lengths: list[int]) -> tuple[DataFrame, dict[tuple[str, int], str]]:
+    """Adds an array of hashes of the runs of each length from each token on, and names it. Runs past the end hold no sense.
+
+    A run is hashed from the hashes of two shorter runs that cover it, each a column of its own, so none is computed twice.
+    """
+    names = {}
+
+    def add(rows: DataFrame, column: str, length: int) -> DataFrame:
+        if (column, length) in names:
+            return rows
+        name = names[column, length] = f"{column}_{length}"
+        if length == 1:
+            return rows.withColumn(name, F.transform(column, lambda t: F.xxhash64(t)))
+        half = 1 << ((length - 1).bit_length() - 1)
+        part = f"{column}_{half}"
+        rest = F.slice(part, length - half + 1, F.size(column))
+        return add(rows, column, half).withColumn(name, F.zip_with(part, rest, lambda a, b: F.xxhash64(F.lit(length), a, b)))
+
+    for column in tokens:
+        for length in lengths:
+            rows = add(rows, column, length)
+    return rows, {k: v for k, v in names.items() if k[1] in lengths}
+
+
+def whole_items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, tokens, words, capital, n, need, run, seed): each distinct item with a token, and what it asks for.
+
+    ``need`` tokens must be found: all of an item under eight tokens, else three quarters, at most ``MATCHED``. Only
+    runs of ``run`` equal tokens count, which leaves enough of them whichever word is replaced. ``seed`` is the length of the windows:
+    half the item or less, so one side of a replaced word holds one. ``capital`` says that the first token may be a name.
+    """
+    named = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
+    text = _spelled(F.col("text"))
+    split = named.select(F.xxhash64("item_id", "text").alias("item"), "item_id", F.filter(
+        F.arrays_zip(template_tokens(text).alias("t"), _words(text).alias("w"), raw_tokens(text).alias("r")), lambda x: x["t"] != "").alias("z"))
+    n = F.col("n")
+    need = F.when(n < WINDOW, n).otherwise(F.least(F.lit(MATCHED), F.ceil(n * 0.75).cast("int")))
+    return (
+        split.select("item", "item_id", F.col("z.t").alias("tokens"), F.col("z.w").alias("words"), F.size("z").alias("n"),
+                     F.get("z", F.lit(0))["r"].rlike(rf"^{PUNCTUATION}*\p{{Lu}}(?=[^ ]*\p{{Ll}})").alias("capital"))
+        .where("n > 0").withColumn("need", need).withColumn("run", F.greatest(F.lit(1), F.least(F.lit(WINDOW), n - F.col("need"))))
+        .withColumn("seed", F.when(n < WINDOW, n).when(n < 2 * WINDOW, WINDOW // 2).otherwise(WINDOW)))
+
+
+def _literals(tokens: Column | str) -> Column:
+    return F.size(F.filter(tokens, lambda t: ~t.isin(NAME, NUMBER, UNIT)))
+
+
+def seeds_of(items: DataFrame, lengths: list[int]) -> DataFrame:
+    """(hash, at: array of item, its length and place): windows of words, and of templates that hold enough literals.
+
+    The first token of an item can follow anything in a document, so where it may be a name it is also taken as one.
+    """
+    as_name = F.concat(F.array(F.lit(NAME)), F.slice("tokens", 2, F.size("tokens")))
+    form = lambda exact, tokens: F.struct(F.lit(exact).alias("exact"), tokens.alias("form"))
+    forms = F.array(form(True, F.col("words")), form(False, F.col("tokens")), form(False, F.when(F.col("capital"), as_name).otherwise(F.col("tokens"))))
+    each, names = _run_hashes(items.select("item", "n", "seed", F.explode(forms).alias("f")).select("item", "n", "seed", "f.*"), ["form"], lengths)
+    # items under WINDOW tokens are one window, which asks for LITERALS; of longer ones, half the window, as everywhere
+    least = F.when(F.col("n") < WINDOW, LITERALS).otherwise(F.col("seed") * LITERALS / WINDOW)
+    found = None
+    for length in lengths:
+        placed = each.where(F.col("seed") == length).select("item", "n", "exact", "form", "seed", F.posexplode(names["form", length]).alias("place", "hash"))
+        window = F.slice("form", F.col("place") + 1, length)
+        kept = placed.where((F.col("place") <= F.col("n") - length) & (F.col("exact") | (_literals(window) >= least)))
+        rows = kept.select("hash", F.struct("item", "n", (F.col("place") + 1).alias("place")).alias("at"))
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("hash").agg(F.collect_set("at").alias("at"))
+
+
+def _covered(equal: str, literal: Column | None) -> Column:
+    """Places in runs of ``run`` equal tokens, where asked half of them literals."""
+    def whole(s: Column) -> Column:
+        every = F.forall(F.slice(equal, s, F.col("run")), lambda e: e)
+        if literal is None:
+            return every
+        return every & (F.size(F.filter(F.slice(literal, s, F.col("run")), lambda x: x)) * WINDOW >= F.col("run") * LITERALS)
+
+    starts = F.filter(F.sequence(F.lit(1), F.col("n") - F.col("run") + 1), whole)
+    return F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + F.col("run") - 1))))
+
+
+def held(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, item_id, n_matched, n_tokens, changed): as ``contaminated``, for items of every length and kind.
+
+    Copies in the item's own words count whatever their tokens are; copies with other values as far as the slots are
+    consistent. Alignments of an item under sixteen tokens are only put together when they are less than its length apart.
+    """
+    items = stored(whole_items(benchmark))
+    lengths = sorted(r["seed"] for r in items.select("seed").distinct().collect())  # at most WINDOW numbers
+    schema = "doc_id long, text_hash long, item_id long, n_matched int, n_tokens int, changed boolean"
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], schema)
+    texts = docs.select("doc_id", whole_text("text").alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), _spelled(F.col("text")).alias("text"))
+    parts = {"tokens": template_tokens(F.col("text")), "words": _words(F.col("text"))}
+    split = texts.select("doc_id", "text_hash", *[F.filter(c, lambda t: t != "").alias(name) for name, c in parts.items()])
+    hashed, names = _run_hashes(split, list(parts), lengths)
+    # all arrays are as long as the document, so the place in it is a remainder; not posexplode, see contaminated()
+    placed = hashed.select("doc_id", "text_hash", F.size("tokens").alias("size"), F.posexplode_outer(F.concat(*names.values())).alias("place", "hash"))
+    hits = placed.join(small(stored(seeds_of(items, lengths))), "hash").select(
+        "doc_id", "text_hash", (F.col("place") % F.col("size")).alias("place"), F.explode("at").alias("a"))
+    aligned = stored(
+        hits.select("doc_id", "text_hash", F.struct(F.col("a.item").alias("item"), F.col("a.n").alias("n"), (F.col("place") - F.col("a.place") + 1).alias("shift")).alias("a"))
+        .groupBy("doc_id", "text_hash").agg(F.collect_set("a").alias("alignments")))
+    # the item's stretch of the few documents with a hit, cut from the text once for all alignments
+    keys = small(aligned.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")))
+    same = texts["doc_id"].eqNullSafe(keys["hit_id"]) & (texts["text_hash"] == keys["hit_hash"])
+    hit_texts = texts.join(keys, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select(
+        F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"),
+        F.filter(F.arrays_zip(parts["tokens"].alias("t"), parts["words"].alias("w")), lambda x: x["t"] != "").alias("z"))
+    stretch = F.transform("alignments", lambda a: F.struct(
+        a["item"].alias("item"), a["shift"].alias("shift"),
+        F.transform(F.sequence(F.lit(0), a["n"] - 1), lambda p: F.get("z", a["shift"] + p)).alias("part")))
+    hit_texts = stored(hit_texts)
+    cut = aligned.join(hit_texts, aligned["doc_id"].eqNullSafe(hit_texts["hit_id"]) & (aligned["text_hash"] == hit_texts["hit_hash"])).select(
+        "doc_id", "text_hash", F.explode(stretch).alias("a")).select("doc_id", "text_hash", "a.*")
+    mark = lambda t: t.isin(NAME, NUMBER, UNIT)
+    pair = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: F.struct(
+        p.alias("p"), F.get("tokens", p).alias("t"), F.get("words", p).alias("w"), F.get("part", p)["t"].alias("dt"), F.get("part", p)["w"].alias("dw")))
+    row = cut.join(items, "item").withColumn("pair", pair)
+    row = row.withColumn("same", F.transform("pair", lambda x: F.coalesce(x["w"] == x["dw"], F.lit(False))))
+    row = row.withColumn("alike", F.transform("pair", lambda x: F.coalesce(
+        (x["w"] == x["dw"]) | (x["t"] == x["dt"]) | ((x["p"] == 0) & F.col("capital") & (x["dt"] == NAME)), F.lit(False))))
+    # stored, as the optimizer would put each array's expression into the lambdas that read it, once for every element
+    row = stored(row.withColumn("literal", F.transform("pair", lambda x: F.coalesce(~mark(x["t"]) & (x["w"] == x["dw"]), F.lit(False)))))
+    row = stored(row.withColumn("verbatim", _covered("same", None)).withColumn("filled", _covered("alike", F.col("literal"))))
+    row = row.drop("part", "tokens", "words").withColumn("slots", F.array_distinct(F.transform(
+        F.filter("pair", lambda x: F.array_contains("filled", x["p"] + 1) & (mark(x["t"]) | mark(x["dt"]))),
+        lambda x: F.struct(F.when(mark(x["t"]), x["t"]).otherwise(x["dt"]).alias("t"), x["w"].alias("w"), x["dw"].alias("dw")))))
+    fits = (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(x["t"], x["w"]))))) & (
+        F.size(F.filter("filled", lambda p: F.get("literal", p - 1))) >= LITERALS)
+    row = row.withColumn("fits", fits).withColumn("places", F.when(F.col("fits"), F.array_union("verbatim", "filled")).otherwise(F.col("verbatim")))
+    row = row.withColumn("changed", F.col("fits") & F.exists("slots", lambda x: x["w"] != x["dw"]))
+    near = F.when(F.col("n") >= 2 * WINDOW, F.array(F.lit(0).cast("bigint"))).otherwise(F.array(
+        2 * F.floor(F.col("shift") / F.col("n")), 2 * F.floor((F.col("shift") + F.col("n") / 2) / F.col("n")) + 1))
+    whole = row.withColumn("near", F.explode(near)).groupBy("doc_id", "text_hash", "item", "item_id", "n", "need", "near").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"), F.max("changed").alias("changed"))
+    kept = whole.where("n_matched >= need").groupBy("doc_id", "text_hash", "item", "item_id", F.col("n").alias("n_tokens"))
+    best = kept.agg(F.max(F.struct("n_matched", F.col("changed"))).alias("b"))
+    return best.select("doc_id", "text_hash", "item_id", "b.n_matched", "n_tokens", "b.changed")
+
+
+def held_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document and item it holds, of any length, in its words or with other values."""
+    return held(docs, benchmark).select("doc_id", "item_id", "n_matched", "n_tokens", "changed")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, find: Callable[[DataFrame, DataFrame], DataFrame] = contaminated) -> DataFrame:
+    """The documents in which ``find`` (``contaminated`` or ``held``) sees no benchmark item, with all their columns."""
+    hits = stored(find(docs, benchmark).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct())
     h = fresh(docs.columns, "text_hash")
     rows = docs.withColumn(h, F.xxhash64(whole_text("text")))
     keys = small(hits)

@@ -23,7 +23,7 @@ def op2_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontaminate.held_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
