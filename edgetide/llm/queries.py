@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from edgetide.llm import bpe, decontaminate, htmltext, langid, linededup, quality, sharding, simhash, topk, toxicity
+from edgetide.llm import (
+    bpe,
+    decontaminate,
+    htmltext,
+    langid,
+    linededup,
+    quality,
+    ranked,
+    sharding,
+    simhash,
+    spelling,
+    topk,
+    toxicity,
+    warc,
+)
 from edgetide.llm.common import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +68,19 @@ def op10_language_spans(spark: SparkSession, folder: str) -> DataFrame:
     return langid.document_languages(table(spark, folder, "documents"))
 
 
+def op11_best_positions(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.archived_pages(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
 def _prepared(query: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return query(bounded_batches(spark), folder)
@@ -63,6 +90,7 @@ def _prepared(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {f.__name__: _prepared(f) for f in (
     op1_byte_cnn, op2_feistel_shards, op3_html_blocks, op4_template_decontamination, op5_line_dedup, op6_toxic_segments,
-    op7_byte_bpe, op8_simhash, op9_pivot_topk, op10_language_spans)}
+    op7_byte_bpe, op8_simhash, op9_pivot_topk, op10_language_spans, op11_best_positions, op12_warc_index, op13_spelling_variants)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {"op5_line_dedup": linededup.LINE_DIGEST_SQL, "op9_pivot_topk": topk.TOP_K_SQL}
+ORACLES: dict[str, str] = {"op5_line_dedup": linededup.LINE_DIGEST_SQL, "op9_pivot_topk": topk.TOP_K_SQL,
+                           "op11_best_positions": ranked.RANKED_SQL, "op12_warc_index": warc.WARC_SQL}
