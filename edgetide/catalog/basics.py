@@ -86,6 +86,68 @@ def write_read_tables(spark, sf):
     return read["edges"].join(read["edge_features"], "idx")
 
 
+# every host a graph of its own: ids from 1 per host
+HOST_SQL = GRAPH_SQL.replace("object_type, id, pl, path from (", "hostname, object_type, id, pl, path from (").replace(
+    "select 'PROCESS'", "select lower(hostname) as hostname, 'PROCESS'").replace("select object_type, object_id, ord*2+1", "select lower(hostname), object_type, object_id, ord*2+1").replace(
+    "select object_type, id, min(pl)", "select hostname, object_type, id, min(pl)").replace("group by 1,2)", "group by 1,2,3)").replace("over (order by first)", "over (partition by hostname order by first)")
+HOST_EDGES = """, he as (select lower(l.hostname) as hostname, a.node_id as u, b.node_id as i, l.ts_us, cast(m.id is not null as int) as label,
+ row_number() over (partition by lower(l.hostname) order by l.ts_us, l.ord) as idx, l.action_type, l.command_line
+ from logs l join ids a on a.hostname=lower(l.hostname) and a.object_type='PROCESS' and a.id=l.actor_id join ids b on b.hostname=lower(l.hostname) and b.object_type=l.object_type and b.id=l.object_id
+ left join malicious m on m.hostname=lower(l.hostname) and m.id=l.id) """
+
+
+def host_graph(spark, sf):
+    flat = flat_events(spark, sf)
+    return ev.build_graph(ev.label_edges(flat, malicious_ids(flat)), ["ord"], host="hostname")
+
+
+@query("write_read_host_tables", sql("logs", "malicious", body=HOST_SQL + HOST_EDGES + "select * from he where hostname in ('host1', 'host3')"))
+def write_read_host_tables(spark, sf):
+    folder = scratch(spark)
+    table_source.write_graph(host_graph(spark, sf), folder)
+    read = table_source.read_tables(spark, folder, hosts=["Host1", "host3"])
+    return read["edges"].join(read["edge_features"], ["hostname", "idx"])
+
+
+@query("write_read_host_tables_csv", sql("logs", "malicious", body=HOST_SQL + HOST_EDGES + "select he.*, s.path as src_path, d.path as dst_path from he join ids s on s.hostname=he.hostname and s.node_id=u join ids d on d.hostname=he.hostname and d.node_id=i"))
+def write_read_host_tables_csv(spark, sf):
+    folder = scratch(spark)
+    table_source.write_graph(host_graph(spark, sf), folder, "csv")
+    hosts = [f"host{n}" for n in range(5)]
+    read = table_source.read_tables(spark, folder, format="csv", hosts=hosts)
+    paths = {side: read["nodes"].select("hostname", F.col("node_id").alias(side), F.col("path").alias(name)) for side, name in (("u", "src_path"), ("i", "dst_path"))}
+    joined = read["edges"].join(read["edge_features"], ["hostname", "idx"])
+    return joined.join(paths["u"], ["hostname", "u"]).join(paths["i"], ["hostname", "i"])
+
+
+# logs of three clients in files by day; the files of one client and the wanted days are read
+FILED = """select id, hostname, actor_id, object_id, action_type from (select *, 'ecar-2019-09-' || (14 + ord % 9) || '-SysClient0'
+ || (200 + cast(pid as bigint) % 3) || case when ord % 11 = 0 then '-Label' else '' end as name from logs)
+ where upper(name) like '%SYSCLIENT0201%' and name like '%2019%' and name not like '%Label%' and name not like '%canada%'
+ and name not like '%09-16%' and name not like '%09-17%' and name not like '%09-18%'"""
+
+
+@query("read_client_logs", sql("logs", body=FILED))
+def read_client_logs(spark, sf):
+    folder = scratch(spark)
+    logs = raw_logs(spark, sf)
+    name = F.concat(
+        F.lit("ecar-2019-09-"), (F.col("ord") % 9 + 14).cast("string"), F.lit("-SysClient0"), (F.col("pid").cast("long") % 3 + 200).cast("string"),
+        F.when(F.col("ord") % 11 == 0, "-Label").otherwise(""))
+    log_source.write_log_files(logs.withColumn("file", name).drop("ord"), folder, "file")
+    found = log_source.read_client_logs(spark, folder, "201", part=-2)
+    return found.select("id", "hostname", F.col("actorID").alias("actor_id"), F.col("objectID").alias("object_id"), F.col("action").alias("action_type"))
+
+
+@query("compare_features", """select (select count(*) from embeddings) as left_rows, 64 as left_width, (select round(min(list_min(embedding))::double, 6) from embeddings) as left_low,
+ (select round(max(list_max(embedding))::double, 6) from embeddings) as left_high, count(*) as right_rows, 64 as right_width, round(min(list_min(embedding))::double, 6) as right_low,
+ round(max(list_max(embedding))::double, 6) as right_high, 0 as equal from embeddings where label = 1""")
+def compare_features(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    found = table_source.compare_features(vectors, vectors.where("label = 1"), "embedding")
+    return found.withColumns({c: r6(c) for c in ("left_low", "left_high", "right_low", "right_high")})
+
+
 @query("read_interactions_csv", sql("kv", body="""select u, i, ts_us, label, round(idx * 0.5, 6) as f1,
  round(cast(u as double), 6) as f2 from kv"""))
 def read_interactions_csv(spark, sf):
@@ -278,10 +340,18 @@ def parent_child_user(spark, sf):
     return counted.select("hostname", *[F.col("h")[n].alias(c) for n, c in enumerate(names)])
 
 
-@query("node_key", sql("logs", body="""select id, case when object_type='FILE' then file_path
- when context_info is not null then 'h' || pid || 'u' || ppid || 'c' else object_id end as node_key from logs"""))
+# the records as five kinds of objects, some of them without the field that names them
+@query("node_key", sql("logs", body="""select id, case cast(pid as bigint)%6 when 0 then file_path when 1 then case when ord%4<>0 then 'm' || ppid || '.dll' end
+ when 2 then case when ord%3<>0 then '10.0.0.' || ppid else '0' end || ':' || case when ord%5<>0 then pid else '0' end when 3 then case when ord%4<>1 then 'HKLM/' || ppid end
+ when 4 then case when context_info is not null then 'h' || pid || 'u' || ppid || 'c' else object_id end else object_id end as node_key from logs"""))
 def node_key_query(spark, sf):
-    return raw_logs(spark, sf).select("id", node_key().alias("node_key"))
+    logs, kinds = raw_logs(spark, sf), ["FILE", "MODULE", "FLOW", "REGISTRY", "SHELL", "PROCESS"]
+    kind = F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("pid").cast("long") % 6).cast("int"))
+    some = lambda n, rest, value: F.when(F.col("ord") % n != rest, value)
+    properties = F.col("properties").withField("module_path", some(4, 0, F.concat(F.lit("m"), "ppid", F.lit(".dll")))).withField(
+        "dest_ip", some(3, 0, F.concat(F.lit("10.0.0."), "ppid"))).withField("dest_port", some(5, 0, F.col("pid"))).withField(
+        "key", some(4, 1, F.concat(F.lit("HKLM/"), "ppid")))
+    return logs.withColumn("object", kind).withColumn("properties", properties).select("id", node_key().alias("node_key"))
 
 
 @query("orient_process_create", sql("logs", body="""select id, case when action_type='CREATE' then ppid else pid end as actor_pid,
@@ -418,9 +488,8 @@ def assign_sorted_node_ids(spark, sf):
 
 @query("assign_edge_ids", sql("trade", body="""select idx, row_number() over (order by ts_us, idx % 7, idx) as new_idx from trade"""))
 def assign_edge_ids(spark, sf):
-    rows = trade_edges(spark, sf).withColumn("slot", F.col("idx") % 7)
-    numbered = row_numbers(rows, ["ts_us", "slot", "idx"], "new_idx")
-    return numbered.select("idx", "new_idx")
+    rows = trade_edges(spark, sf).withColumnRenamed("idx", "old").withColumn("slot", F.col("old") % 7)
+    return ev.assign_edge_ids(rows, ["slot", "old"]).select(F.col("old").alias("idx"), F.col("idx").alias("new_idx"))
 
 
 @query("reindex", sql("kv", body="""select u+1 as u, (i - (select min(i) from kv)) + (select max(u) from kv) + 1 + 1 as i, ts_us, label, idx+1 as idx

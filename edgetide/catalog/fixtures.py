@@ -98,6 +98,17 @@ SQL["feat"] = """select idx, upper(action_type) as action_type, nullif(action_ty
 SQL["signed"] = """select tr.idx, u, i, ts_us, label, a.object_type as object_type_src, b.object_type as object_type_dst,
  feat.action_type, feat.command_line from tr join nodes a on a.node_id=u join nodes b on b.node_id=i join feat using (idx)"""
 
+# the same edges with many different command lines, so that signatures are new at any time
+SQL["rich"] = """select tr.idx, u, i, ts_us, label, a.object_type as object_type_src, b.object_type as object_type_dst,
+ upper(action_type) as action_type, case when action_type <> 'view' then action_type || ' ' || (u*31 + i*17 + tr.idx%5) % 1009 end as command_line
+ from tr join nodes a on a.node_id=u join nodes b on b.node_id=i"""
+
+
+def rich_features_of(edges: DataFrame) -> DataFrame:
+    number = (F.col("u") * 31 + F.col("i") * 17 + F.col("idx") % 5) % 1009
+    command = F.when(F.col("action_type") != "view", F.concat("action_type", F.lit(" "), number.cast("string")))
+    return edges.select("idx", F.upper("action_type").alias("action_type"), command.alias("command_line"))
+
 
 def nodes_of(edges: DataFrame) -> DataFrame:
     ids = edges.select(F.explode(F.array("u", "i")).alias("node_id")).distinct()

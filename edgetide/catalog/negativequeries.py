@@ -10,7 +10,7 @@ from edgetide.catalog.fixtures import (
 from edgetide.catalog.neighborhood import TWO_HOP
 from edgetide.catalog.registry import query
 from edgetide.operators import negatives as ng
-from edgetide.operators.neighbors import two_hop_non_neighbors
+from edgetide.operators.neighbors import two_hop_sets
 from edgetide.plans.ordered import quantiles
 
 POOL = """su as (select u, row_number() over (order by u) - 1 as u_no from (select distinct u from {p})),
@@ -101,14 +101,25 @@ def popular_negatives(spark, sf):
     return ng.popular_negatives(edges, edges)
 
 
+DIRECT = "exists (select 1 from met where met.node=h.u and met.neighbor=h.far and met.first_us < h.ts_us)"
+TWICE = """exists (select 1 from rch r join met on met.node=r.via where r.idx=h.idx and r.rank < h.rank and met.neighbor=h.far and met.first_us < h.ts_us)"""
+
+
 @query("two_hop_negatives", sql("tr", body=TWO_HOP + f""", l as (select idx, list(far order by far) as far from two group by 1),
+ rch as (select n.idx, n.u, n.ts_us, n.rank, n.via, count(*) as offers from near n left join stop s using (idx) join rk o on o.node=n.via and o.first_us < n.ts_us
+  where s.rank is null or n.rank <= s.rank group by all having count(*) > 1),
+ sp as (select *, sum(offers) over (partition by idx order by rank) - offers as start from rch),
+ tt as (select idx, sum(offers)::bigint as total from rch group by 1),
+ tj as (select *, {sql_draw(0, 'idx', 'j')} % total as p from (select *, unnest(range(0, 4)) as j from tt)),
+ h as (select sp.idx, sp.u, sp.ts_us, sp.rank, tj.j, o.neighbor as far from tj join sp on sp.idx=tj.idx and p >= start and p < start + offers join rk o on o.node=sp.via and o.rank = p - start + 1),
+ ok as (select idx, arg_min(far, j) as far from h where far <> u and not {DIRECT} and not {TWICE} group by 1),
  si as (select i, row_number() over (order by i) - 1 as i_no from (select distinct i from tr)),
- d as (select tr.idx, tr.u, tr.ts_us, l.far, {sql_draw(0, 'tr.idx')} as n from tr left join l using (idx))
- select d.idx, d.u, coalesce(far[n % len(far) + 1], si.i) as i, d.ts_us, case when far is not null then 'preferred' else 'random' end as source
+ d as (select tr.idx, tr.u, tr.ts_us, ok.far as pick, l.far, {sql_draw(0, 'tr.idx')} as n from tr left join l using (idx) left join ok using (idx))
+ select d.idx, d.u, coalesce(pick, far[n % len(far) + 1], si.i) as i, d.ts_us, case when far is not null then 'preferred' else 'random' end as source
  from d join si on si.i_no = n % (select count(*) from si)"""))
 def two_hop_negatives(spark, sf):
     edges = transition_edges(spark, sf)
-    return ng.two_hop_negatives(edges, two_hop_non_neighbors(edges), edges)
+    return ng.two_hop_negatives(edges, two_hop_sets(edges), edges)
 
 
 @query("replace_with_anomalies", sql("kv", body="+ " + POOL.format(p="kv") + f""", neg as (select (idx-1)//256 as batch, idx, u, si.i, ts_us from

@@ -38,8 +38,12 @@ def recent_neighbors(spark, sf):
     return found.select("idx", "side", F.array_join(text, ",").alias("recent"), F.repeat(F.lit("0,"), pads).alias("pad"))
 
 
-@query("recent_neighbors_ties", sql("trade", body="+ " + recent("trade", 3) + """ select q.qidx as idx, q.side, coalesce(l.recent, '') as recent from q
- left join (select qidx, side, string_agg(nidx, ',' order by r desc) as recent from rec group by 1,2) l using (qidx, side)"""))
+# a moment's earlier interactions are the places before its first one, so the last three are three places
+@query("recent_neighbors_ties", sql("trade", body=f"+ {halves('trade')}" + """, t as (select *, row_number() over (partition by node order by ts_us, idx, neighbor) as spot from hf),
+ e as (select node, ts_us, min(spot) - 1 as earlier from t group by 1,2), w as (select *, unnest(range(0, 3)) as j from e where earlier > 0),
+ l as (select w.node, w.ts_us, string_agg(t.idx, ',' order by t.spot) as recent from w join t on t.node=w.node and t.spot = w.earlier - w.j group by 1,2),
+ q as (select idx, 'src' as side, u as node, ts_us from trade union all select idx, 'dst', i, ts_us from trade)
+ select q.idx, q.side, coalesce(l.recent, '') as recent from q left join l using (node, ts_us)"""))
 def recent_neighbors_ties(spark, sf):
     edges = trade_edges(spark, sf)
     queries = nb.edge_queries(edges)
@@ -109,6 +113,65 @@ def temporal_walks(spark, sf):
     return found.select("qid", F.array_join("nodes", ",").alias("nodes"), F.array_join("times", ",").alias("times"))
 
 
+def drawn_hop(source: str, strategy: str, name: str, k: int = 2) -> str:
+    """Table ``name`` (qid, walk, hop places, neighbor, nidx, nts): k draws for every row of ``source`` (qid, walk, node, at)."""
+    if strategy == "uniform":
+        counts = f"{name}c as (select s.qid, s.walk, s.node, count(*) as n from {source} s join tl on tl.node=s.node and tl.ts_us < s.at group by all)"
+        hit = f"tl.spot = {sql_draw(0, 'd.qid', 'd.walk', 'd.j')} % d.n + 1"
+    else:
+        counts = f"{name}c as (select s.qid, s.walk, s.node, max(tl.upto) as n from {source} s join tl on tl.node=s.node and tl.ts_us < s.at group by all)"
+        hit = f"{sql_uniform(0, 'd.qid', 'd.walk', 'd.j')} * d.n >= tl.upto - tl.mass and {sql_uniform(0, 'd.qid', 'd.walk', 'd.j')} * d.n < tl.upto"
+    return f"""{counts}, {name}d as (select d.*, tl.spot, tl.neighbor, tl.idx as nidx, tl.ts_us as nts from (select *, unnest(range(0, {k})) as j from {name}c) d join tl on tl.node=d.node and {hit}),
+ {name} as (select *, row_number() over (partition by qid, walk order by spot, j) - 1 as place from {name}d)"""
+
+
+def drawn_hops(strategy: str) -> str:
+    """Two hops of two draws each from every edge's source: ``a1`` and ``a2``."""
+    line = f"""{halves('tr')}, ff as (select node, max(ts_us) as final from hf group by 1),
+ t1 as (select hf.*, exp(0.000001*(hf.ts_us-final)/1e6) as term from hf join ff using (node)),
+ t2 as (select *, sum(term) over (partition by node order by ts_us, idx, neighbor rows unbounded preceding) as s from t1), t3 as (select *, exp(term/s) as mass from t2),
+ tl as (select *, sum(mass) over (partition by node order by ts_us, idx, neighbor rows unbounded preceding) as upto, row_number() over (partition by node order by ts_us, idx, neighbor) as spot from t3),
+ q0 as (select idx as qid, '' as walk, u as node, ts_us as at from tr)"""
+    return f"""{line}, {drawn_hop('q0', strategy, 'a1')}, q1 as (select qid, place::varchar as walk, neighbor as node, nts as at from a1), {drawn_hop('q1', strategy, 'a2')}"""
+
+
+DRAWN_HOPS = """ select qid, 1 as hop, place::varchar as walk, neighbor, nidx as idx from a1 union all select qid, 2, walk || ',' || place, neighbor, nidx from a2"""
+DRAWN_WALKS = """ select a2.qid, tr.u || ',' || a1.neighbor || ',' || a2.neighbor as nodes, tr.ts_us || ',' || a1.nts || ',' || a2.nts as times
+ from a2 join a1 on a1.qid=a2.qid and a1.place::varchar=a2.walk join tr on tr.idx=a2.qid"""
+
+
+def source_queries(edges):
+    return edges.select(F.col("idx").alias("qid"), F.col("u").alias("node"), "ts_us")
+
+
+@query("multi_hop_neighbors_uniform", sql("tr", body="+ " + drawn_hops("uniform") + DRAWN_HOPS))
+def multi_hop_neighbors_uniform(spark, sf):
+    edges = transition_edges(spark, sf)
+    found = nb.multi_hop_neighbors(source_queries(edges), edges, 2, 2, "uniform")
+    return found.select("qid", "hop", F.array_join("walk", ",").alias("walk"), "neighbor", "idx")
+
+
+@query("multi_hop_neighbors_time_aware", sql("tr", body="+ " + drawn_hops("time_aware") + DRAWN_HOPS))
+def multi_hop_neighbors_time_aware(spark, sf):
+    edges = transition_edges(spark, sf)
+    found = nb.multi_hop_neighbors(source_queries(edges), edges, 2, 2, "time_aware")
+    return found.select("qid", "hop", F.array_join("walk", ",").alias("walk"), "neighbor", "idx")
+
+
+@query("temporal_walks_uniform", sql("tr", body="+ " + drawn_hops("uniform") + DRAWN_WALKS))
+def temporal_walks_uniform(spark, sf):
+    edges = transition_edges(spark, sf)
+    found = nb.temporal_walks(source_queries(edges), edges, 2, 2, "uniform")
+    return found.select("qid", F.array_join("nodes", ",").alias("nodes"), F.array_join("times", ",").alias("times"))
+
+
+@query("temporal_walks_time_aware", sql("tr", body="+ " + drawn_hops("time_aware") + DRAWN_WALKS))
+def temporal_walks_time_aware(spark, sf):
+    edges = transition_edges(spark, sf)
+    found = nb.temporal_walks(source_queries(edges), edges, 2, 2, "time_aware")
+    return found.select("qid", F.array_join("nodes", ",").alias("nodes"), F.array_join("times", ",").alias("times"))
+
+
 @query("landing_probability", sql("tr", body="+ " + recent("tr", 3) + """, h2 as (select * from (select a.qidx, a.side, a.r as ar, hf.neighbor,
   row_number() over (partition by a.qidx, a.side, a.r order by hf.ts_us desc, hf.idx desc, hf.neighbor desc) as r from rec a join hf on hf.node=a.neighbor and hf.ts_us < a.nts) where r <= 3),
  v as (select qidx, side, node, 0 as hop from q union all select qidx, side, neighbor, 1 from rec union all select qidx, side, neighbor, 2 from h2)
@@ -182,10 +245,26 @@ def prev_next_event(spark, sf):
     return found[0].unionByName(found[1]).select("qid", "direction", "prev_action", "next_action", "prev_gap", "next_gap")
 
 
-@query("prev_next_one_hot", sql("logs", body="""select id, cast(list_position(['CREATE','DELETE','MODIFY','READ','RENAME','WRITE','MESSAGE','OPEN','START','LOAD','TERMINATE'], action_type) - 1 as int) as pos from logs"""))
+def log_edges(spark, sf):
+    """Edges of the audit records from user to value, with their actions."""
+    us = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    return raw_logs(spark, sf).select(
+        (F.col("ord") + 1).alias("idx"), F.col("pid").cast("long").alias("u"), (F.col("ppid").cast("long") + 100000).alias("i"), us.alias("ts_us"),
+        F.col("action").alias("action_type"))
+
+
+@query("prev_next_one_hot", sql("logs", body="""+ v as (select ['CREATE','DELETE','MODIFY','READ','RENAME','WRITE','MESSAGE','OPEN','START','LOAD','TERMINATE'] as names),
+ e as (select ord + 1 as idx, cast(pid as bigint) as node, ts_us, action_type from logs),
+ w as (select node, ts_us, arg_max(action_type, idx) as last, arg_min(action_type, idx) as first from e group by 1,2),
+ p as (select *, lag(last) over z as pa, lead(first) over z as na from w window z as (partition by node order by ts_us))
+ select e.idx as qid, case when pa is not null and na is not null then list_position(names, pa) - 1 end::int as prev_pos,
+ case when pa is not null and na is not null then list_position(names, na) - 1 end::int as next_pos from e join p using (node, ts_us), v"""))
 def prev_next_one_hot(spark, sf):
-    hot = one_hot("action", ACTIONS)
-    return raw_logs(spark, sf).select("id", (F.array_position(hot, 1) - 1).cast("int").alias("pos"))
+    edges = log_edges(spark, sf)
+    queries = edges.select(F.col("idx").alias("qid"), F.col("u").alias("node"), "ts_us")
+    found = nb.prev_next_event(edges.drop("action_type"), edges.select("idx", "action_type"), queries).where("direction = 'out'")
+    place = lambda c: F.nullif(F.array_position(one_hot(c, ACTIONS), 1) - 1, F.lit(-1)).cast("int")
+    return found.select("qid", place("prev_action").alias("prev_pos"), place("next_action").alias("next_pos"))
 
 
 TWO_HOP = f"""+ {halves('tr')}, met as (select node, neighbor, min(ts_us) as first_us from hf group by 1,2),
@@ -209,5 +288,5 @@ def two_hop_non_neighbors(spark, sf):
 @query("two_hop_candidates", sql("tr", body=TWO_HOP + """ select tr.idx, count(two.far) as candidates from tr left join two using (idx) group by 1"""))
 def two_hop_candidates(spark, sf):
     edges = transition_edges(spark, sf)
-    found = nb.two_hop_candidates(edges.select("idx"), nb.two_hop_non_neighbors(edges))
-    return found.select("idx", F.size("two_hop_non_neighbors").cast("long").alias("candidates"))
+    found = nb.two_hop_candidates(edges, nb.two_hop_sets(edges)).groupBy("idx").agg(F.count("*").alias("candidates"))
+    return edges.select("idx").join(found, "idx", "left").select("idx", F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from edgetide.catalog.fixtures import (
-    kv_edges, nodes_of, r6, scored_links, sql,
+    kv_edges, nodes_of, r6, scored_links, sql, table,
 )
 from edgetide.catalog.registry import query
 from edgetide.catalog.sanity import KV_SPLIT
 from edgetide.functions.times import epoch_bucket
 from edgetide.operators import conformal, memory, metrics, reports, splits
 from edgetide.operators.events import batch_number
-from edgetide.plans.ordered import quantiles
+from edgetide.plans.ordered import quantiles, running_totals
 
 
 def rounded(df, *columns, digits=6):
@@ -81,11 +81,35 @@ def edge_membership(spark, sf):
  m as (select u, i from p where n >= (select avg(n) from p)), x as (select idx, u, i, 1 as label from t union all select idx, u, 100000 + (i - 100000 + 37) % 100, 0 from t)
  select idx, label, case when m.u is null then 0.0::double else 1.0::double end as score from x left join m using (u, i)"""))
 def edgebank_scores(spark, sf):
+    return scored_by_memory(spark, sf, "repeat_threshold_memory")
+
+
+def scored_by_memory(spark, sf, mode):
     past, test = history(spark, sf)
     positives = test.select("idx", "u", "i")
     wrong = positives.withColumn("i", F.lit(100000) + (F.col("i") - 100000 + 37) % 100)
-    found = memory.edgebank_scores(past, positives, wrong, "repeat_threshold_memory")
-    return found.select("idx", "label", "score")
+    return memory.edgebank_scores(past, positives, wrong, mode).select("idx", "label", "score")
+
+
+MEMORY = HIST + """, p as (select u, i, count(*) as n, min(ts_us) as a, max(ts_us) as z from h group by 1,2),
+ m as (select u, i from p where {kept}), x as (select idx, u, i, 1 as label from t union all select idx, u, 100000 + (i - 100000 + 37) % 100, 0 from t)
+ select idx, label, case when m.u is null then 0.0::double else 1.0::double end as score from x left join m using (u, i)"""
+
+
+@query("edgebank_scores_unlimited", sql("kv", body=MEMORY.format(kept="true")))
+def edgebank_scores_unlimited(spark, sf):
+    return scored_by_memory(spark, sf, "unlimited_memory")
+
+
+@query("edgebank_scores_time_window", sql("kv", body=MEMORY.format(kept="z >= (select quantile_cont(ts_us, 0.85) from h)")))
+def edgebank_scores_time_window(spark, sf):
+    return scored_by_memory(spark, sf, "time_window_fixed_proportion")
+
+
+@query("edgebank_scores_repeat_interval", sql("kv", body=MEMORY.format(
+    kept="z >= (select max(z) - sum(case when n>1 then (z-a)/(n-1) else 0 end)/count(*) from p)")))
+def edgebank_scores_repeat_interval(spark, sf):
+    return scored_by_memory(spark, sf, "time_window_repeat_interval")
 
 
 BATCHED = KV_SPLIT + """, e as (select *, case when split='test' then (row_number() over (partition by split='test' order by idx) - 1)//256 else -1 end as batch from s),
@@ -94,14 +118,20 @@ BATCHED = KV_SPLIT + """, e as (select *, case when split='test' then (row_numbe
  sc as (select c.idx, c.batch, c.label, case when f.first < c.batch then 1.0::double else 0.0::double end as score from cand c left join f using (u, i))"""
 
 
-def batched(spark, sf):
+# every batch by itself: its own history, its own bound
+GROWN = BATCHED + """, hb as (select b.batch as b, e.u, e.i, e.ts_us from (select distinct batch from e where batch>=0) b join e on e.batch < b.batch),
+ p as (select b, u, i, count(*) as n, min(ts_us) as a, max(ts_us) as z from hb group by 1,2,3), w as ({bound})
+ select c.idx, c.batch, c.label, case when {reached} >= w.bound then 1.0::double else 0.0::double end as score from cand c left join p on p.b=c.batch and p.u=c.u and p.i=c.i left join w on w.b=c.batch"""
+
+
+def batched(spark, sf, mode="unlimited_memory"):
     edges = splits.quantile_split(kv_edges(spark, sf), 0.15, 0.15)
     start = edges.where("split = 'test'").agg(F.min("idx")).scalar()  # idx is dense in time order
     place = batch_number(F.col("idx") - F.col("_start") + 1)
     edges = edges.withColumn("_start", start).withColumn("batch", F.when(F.col("split") == "test", place).otherwise(-1))
     positives = edges.where("batch >= 0").select("idx", "u", "i", "batch", F.lit(1).alias("label"))
     wrong = positives.withColumn("i", F.lit(100000) + (F.col("i") - 100000 + 37) % 100).withColumn("label", F.lit(0))
-    return memory.edgebank_batched(edges, positives.unionByName(wrong))
+    return memory.edgebank_batched(edges, positives.unionByName(wrong), mode)
 
 
 @query("edgebank_batched", sql("kv", body=BATCHED + " select idx, batch, label, score from sc"))
@@ -109,6 +139,22 @@ def edgebank_batched(spark, sf):
     return batched(spark, sf).select("idx", "batch", "label", "score")
 
 
+@query("edgebank_batched_time_window", sql("kv", body=GROWN.format(bound="select b, quantile_cont(ts_us, 0.85) as bound from hb group by 1", reached="p.z")))
+def edgebank_batched_time_window(spark, sf):
+    return batched(spark, sf, "time_window_fixed_proportion").select("idx", "batch", "label", "score")
+
+
+@query("edgebank_batched_repeat_interval", sql("kv", body=GROWN.format(
+    bound="select b, max(z) - sum(case when n>1 then (z-a)/(n-1) else 0 end)/count(*) as bound from p group by 1", reached="p.z")))
+def edgebank_batched_repeat_interval(spark, sf):
+    return batched(spark, sf, "time_window_repeat_interval").select("idx", "batch", "label", "score")
+
+
+@query("edgebank_batched_repeat_threshold", sql("kv", body=GROWN.format(bound="select b, avg(n) as bound from p group by 1", reached="p.n")))
+def edgebank_batched_repeat_threshold(spark, sf):
+    return batched(spark, sf, "repeat_threshold_memory").select("idx", "batch", "label", "score")
+
+
 def auc_sql(table: str, by: str = "", score: str = "score") -> str:
     part = f"partition by {by}" if by else ""
     cols = f"{by}, " if by else ""
@@ -244,20 +290,34 @@ def smooth_series(spark, sf):
 
 
 # ------------------------------------------------------------------ conformal
-ADAPTIVE = sql("scored", body="""+ cal as (select 1-score as err, row_number() over (order by 1-score) - 1 as r from scored where idx%3=0),
- k as (select count(*) as n, max(err) as top from cal), test as (select 1-score as err, (row_number() over (order by idx) - 1)//256 as batch from scored where idx%3<>0),
- steps(batch, level, threshold, miscoverage, n) as (
-  select -1::bigint, 0.05::double, 0.0::double, -1.0::double, 0::bigint
+def stream_links(spark, sf):
+    """Scored links with their type of event as ``stream``."""
+    kinds = table(spark, sf, "events").select((F.col("event_id") + 1).alias("idx"), F.col("event_type").alias("stream"))
+    return scored_links(spark, sf).join(kinds, "idx")
+
+
+def adaptive_sql(body: str) -> str:
+    """``body`` over ``test`` (idx, stream, batch, err) and ``steps`` (stream, batch, level, threshold, miscoverage, n): the
+    recurrence of every stream, one batch after the other."""
+    return sql("scored", body="""+ cal as (select 1-score as err, row_number() over (order by 1-score) - 1 as r from scored where idx%3=0),
+ k as (select count(*) as n, max(err) as top from cal),
+ test as (select idx, e.event_type as stream, 1-score as err, (row_number() over (partition by e.event_type order by idx) - 1)//256 as batch from scored join events e on e.event_id = idx - 1 where idx%3<>0),
+ ends as (select stream, max(batch) as last from test group by 1),
+ steps(stream, batch, level, threshold, miscoverage, n) as (
+  select stream, -1::bigint, 0.05::double, 0.0::double, -1.0::double, 0::bigint from ends
   union all
-  select s.batch + 1, w.level, w.threshold, (select avg((t.err > w.threshold)::int) from test t where t.batch = s.batch + 1),
-   (select count(*) from test t where t.batch = s.batch + 1)
-  from steps s, lateral (select case when s.batch < 0 then s.level when s.miscoverage > 0.05 then s.level + 0.005 * (s.level - s.miscoverage) else s.level * 1.005 end as level) v,
+  select s.stream, s.batch + 1, w.level, w.threshold, (select avg((t.err > w.threshold)::int) from test t where t.stream = s.stream and t.batch = s.batch + 1),
+   (select count(*) from test t where t.stream = s.stream and t.batch = s.batch + 1)
+  from steps s join ends on ends.stream = s.stream and s.batch < ends.last,
+   lateral (select case when s.batch < 0 then s.level when s.miscoverage > 0.05 then s.level + 0.005 * (s.level - s.miscoverage) else s.level * 1.005 end as level) v,
    lateral (select v.level, case when floor((1 - v.level) * (k.n + 1)) >= k.n then k.top + 1e-6 else
      (select lo.err + (hi.err - lo.err) * (p.spot - floor(p.spot)) from (select floor((1 - v.level) * (k.n + 1)) / k.n * (k.n - 1) as spot) p
-      join cal lo on lo.r = floor(p.spot) join cal hi on hi.r = ceil(p.spot)) end as threshold from k) w
-  where s.batch < (select max(batch) from test))
- select 'all' as stream, batch, round(level, 6) as level, round(threshold, 6) as threshold, round(miscoverage, 6) as miscoverage, n from steps where batch >= 0
- """).replace("with scored", "with recursive scored", 1)
+      join cal lo on lo.r = floor(p.spot) join cal hi on hi.r = ceil(p.spot)) end as threshold from k) w)
+ """ + body).replace("with scored", "with recursive scored", 1)
+
+
+ADAPTIVE = adaptive_sql("""select stream, batch, round(level, 6) as level, round(threshold, 6) as threshold, round(miscoverage, 6) as miscoverage, n
+ from steps where batch >= 0""")
 
 
 def calibration(spark, sf):
@@ -290,10 +350,11 @@ def miscoverage(spark, sf):
 
 @query("adaptive_conformal", ADAPTIVE)
 def adaptive_conformal(spark, sf):
-    cal, test = calibration(spark, sf)
-    # every third link calibrates, so the others are numbered densely by arithmetic
-    dense = test.withColumn("idx", F.col("idx") - F.floor(F.col("idx") / 3))
-    found = conformal.adaptive_conformal(dense, cal)
+    links = stream_links(spark, sf)
+    # each stream's test links numbered densely, in shares of a busy stream
+    dense = running_totals(links.where("idx % 3 <> 0"), ["stream"], ["idx"], {"_place": F.lit(1).cast("long")})
+    test = dense.drop("idx").withColumnRenamed("_place", "idx")
+    found = conformal.adaptive_conformal(test, links.where("idx % 3 = 0"), key="stream")
     return rounded(found, "level", "threshold", "miscoverage")
 
 
@@ -381,6 +442,26 @@ def edge_anomaly_report(spark, sf):
     return rounded(reports.edge_anomaly_report(links), "auc", "ap", "best_f1", "best_threshold", *RATE_NAMES)
 
 
+# the conformal mask of every batch, from the table that adaptive_conformal returns
+MASKED = f""", an as (select err as score, label, (err > threshold)::int as z from test join steps using (stream, batch) join scored using (idx)),
+ f as (select score, sum(label) as p, sum(1-label) as n from an group by 1),
+ r as (select *, sum(p) over (order by score desc) as tp, sum(n) over (order by score desc) as fp, sum(p) over () as tot_p from f),
+ best as (select score as t, 2*tp/(tp+fp+tot_p)::double as f from r order by 2 desc, 1 desc limit 1), cm as (select {CELLS} from an)
+ select (select sum(label)::bigint from an) as positives, (select sum(1-label)::bigint from an) as negatives, round((select auc from ({auc_sql('an')})),6) as auc,
+ round((select ap from ({ap_sql('an')})),6) as ap, (select round(f,6) from best) as best_f1, (select round(t,6) from best) as best_threshold, tn, fp, fn, tp, {RATES},
+ (select round(avg(z),6) from an) as miscoverage from cm"""
+
+
+@query("edge_anomaly_report_calibrated", adaptive_sql(MASKED))
+def edge_anomaly_report_calibrated(spark, sf):
+    links = stream_links(spark, sf)
+    dense = running_totals(links.where("idx % 3 <> 0"), ["stream"], ["idx"], {"_place": F.lit(1).cast("long")})
+    test = dense.drop("idx").withColumnRenamed("_place", "idx")
+    levels = conformal.adaptive_conformal(test, links.where("idx % 3 = 0"), key="stream")
+    joined = test.withColumns({"batch": batch_number().cast("long"), "anomaly": F.lit(1.0) - F.col("score")})
+    return rounded(reports.edge_anomaly_report(joined, levels=levels), "auc", "ap", "best_f1", "best_threshold", "miscoverage", *RATE_NAMES)
+
+
 @query("window_anomaly_report", sql("scored", body=BUCKETED.replace("43200000000*43200", "900000000*900") + LOWEST + f""",
  w as (select l.label, 1-coalesce(bot.score, 1.0) as score from (select bucket, max(label) as label from b group by 1) l left join bot using (bucket)),
  f as (select score, sum(label) as p, sum(1-label) as n from w group by 1),

@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from edgetide.catalog.fixtures import kv_of, r6, scored_links, scored_of, sql, table
+from edgetide.catalog.fixtures import kv_edges, r6, sql
 from edgetide.catalog.registry import query
+from edgetide.catalog.scoring import adaptive_sql, stream_links
+from edgetide.session import scratch_folder, stored
 from edgetide.streaming import processors as st
 
 
-def event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+PARTS = 4  # micro-batches
+
+
+def arriving(rows, part: str, files: int = 2):
+    """``rows`` as a stream of ``PARTS`` micro-batches: files written part after part, as many of them a trigger as a part has."""
+    spark = rows.sparkSession
+    folder = f"{scratch_folder(spark)}/arriving-{uuid.uuid4().hex}"
+    placed = stored(rows)
+    for number in range(PARTS):
+        placed.where(F.col(part) == number).drop(part).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(placed.drop(part).schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def in_time(rows):
+    """``part``: quarters of the event numbers, which follow time."""
+    last = rows.agg(F.max("idx")).scalar()
+    return rows.withColumn("_n", last).withColumn("part", F.floor((F.col("idx") - 1) * PARTS / F.col("_n")).cast("int")).drop("_n")
 
 
 def edge_stream(spark, sf):
-    return kv_of(event_stream(spark, sf)).withColumn("ts", F.timestamp_micros("ts_us"))
+    return arriving(in_time(kv_edges(spark, sf).withColumn("ts", F.timestamp_micros("ts_us"))), "part")
+
+
+# every 40th event arrives a quarter later than the others of its time
+LATE = """+ p as (select *, 'Host' || u%5 as hostname, (idx-1)*4//(select max(idx) from kv) as quarter from kv),
+ a as (select *, least(quarter + (idx%40=0)::int, 3) as part, ts_us - ts_us%900000000 as start_us from p),
+ m as (select q.part, max(a.ts_us) - 3600000000 as reached from (select distinct part from a) q join a on a.part < q.part group by 1),
+ l as (select a.*, coalesce(start_us + 900000000 <= reached, false) as late from a left join m using (part))"""
 
 
-@query("tumbling_window_edges", sql("kv", body="""+ w as (select 'h' || u%3 as hostname, ts_us - ts_us%900000000 as start_us, count(*) as edges, sum(label)::bigint as labels from kv group by 1,2)
- select * from w where start_us + 900000000 <= (select max(ts_us) - 3600000000 from kv)"""))
+@query("tumbling_window_edges", sql("kv", body=LATE + """ select hostname, start_us, count(*) filter (where not late) as edges, (sum(label) filter (where not late))::bigint as labels,
+ count(*) filter (where late) as late from l group by 1,2"""))
 def tumbling_window_edges(spark, sf):
-    stream = edge_stream(spark, sf).withColumn("hostname", F.concat(F.lit("h"), (F.col("u") % 3).cast("string")))
-    found = st.replay(st.tumbling_window_edges(stream))
-    return found.select("hostname", F.unix_micros("window_start").alias("start_us"), "edges", "labels")
+    edges = in_time(kv_edges(spark, sf)).withColumn("part", F.least(F.col("part") + (F.col("idx") % 40 == 0).cast("int"), F.lit(PARTS - 1)))
+    host = F.concat(F.lit("Host"), (F.col("u") % 5).cast("string"))
+    rows = edges.select(host.alias("hostname"), F.timestamp_micros("ts_us").alias("ts"), "label", "part")
+    windows, late = st.replay_windows(arriving(rows, "part"))
+    start = F.unix_micros("ts") - F.pmod(F.unix_micros("ts"), F.lit(900_000_000))
+    lost = late.groupBy("hostname", start.alias("start_us")).agg(F.count("*").alias("late"))
+    both = windows.select("hostname", "start_us", "edges", "labels").join(lost, ["hostname", "start_us"], "full")
+    none = F.lit(0).cast("long")
+    return both.select("hostname", "start_us", F.coalesce("edges", none).alias("edges"), "labels", F.coalesce("late", none).alias("late"))
 
 
 @query("stream_new_edges", sql("kv", body="select distinct u, i from kv"))
@@ -43,14 +74,14 @@ def stream_node_state(spark, sf):
 @query("stream_node_recency", sql("kv", body="""+ h as (select u as node, ts_us, idx from kv union all select i, ts_us, idx from kv)
  select node, idx, round((ts_us - lag(ts_us) over (partition by node order by ts_us, idx))/1e6, 6) as recency from h"""))
 def stream_node_recency(spark, sf):
-    found = st.replay(st.stream_node_recency(edge_stream(spark, sf)))
-    return found.select("node", "idx", r6("recency").alias("recency"))
+    return st.replay_recency(edge_stream(spark, sf)).select("node", "idx", r6("recency").alias("recency"))
 
 
-@query("stream_adaptive_alerts")
+@query("stream_adaptive_alerts", adaptive_sql("""select test.stream, test.idx, round(level, 6) as level, round(threshold, 6) as threshold,
+ (test.err > threshold)::int as alert from steps join test using (stream, batch)"""))
 def stream_adaptive_alerts(spark, sf):
-    calibration = scored_links(spark, sf).where("idx % 3 = 0")
-    scored = scored_of(event_stream(spark, sf)).where("idx % 3 <> 0")
-    stream = scored.select(F.concat(F.lit("h"), (F.col("src") % 5).cast("string")).alias("stream"), "idx", "score")
-    found = st.replay(st.stream_adaptive_alerts(stream, calibration))
+    links = stream_links(spark, sf)
+    calibration = links.where("idx % 3 = 0")
+    stream = arriving(in_time(links.where("idx % 3 <> 0")).select("stream", "idx", "score", "part"), "part")
+    found = st.replay_alerts(stream, calibration)
     return found.select("stream", "idx", r6("level").alias("level"), r6("threshold").alias("threshold"), "alert")

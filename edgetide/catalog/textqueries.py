@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from edgetide.catalog.basics import (
     DESCRIBE_SQL, MATCH_SQL, RULE_FIELDS, RULES, elements, template_logs,
 )
-from edgetide.catalog.fixtures import flat_events, r6, raw_logs, sql, sql_digest, table, transition_edges
+from edgetide.catalog.fixtures import flat_events, nodes_of, r6, raw_logs, sql, sql_digest, table, transition_edges
 from edgetide.catalog.registry import query
 from edgetide.functions.text import last_part
 from edgetide.operators import linkmodel, negatives, textfeatures as tx
@@ -17,7 +17,6 @@ from edgetide.plans.ordered import quantiles, row_numbers
 from edgetide.session import stored
 
 DIM = 64
-SHORT = 4
 # a vocabulary with vectors: all words of the benchmark items in order, each with the next embedding
 VOCABULARY = """bw as (select distinct unnest(string_split_regex(lower(text), '[^a-z]+')) as token from benchmark),
  voc as (select token, row_number() over (order by token) - 1 as n from bw where token <> ''),
@@ -33,13 +32,6 @@ def vocabulary(spark, sf):
     return numbered.withColumn("vec_id", F.pmod("n", count)).join(vectors, "vec_id").select("token", "vec")
 
 
-def first_words(spark, sf):
-    words = table(spark, sf, "benchmark").select("item_id", F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("token"))
-    numbered = words.where("token <> ''").groupBy("token").agg(F.min("item_id").alias("vec_id"))
-    vectors = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, SHORT).cast("array<double>").alias("vec"))
-    return numbered.join(vectors, "vec_id").select("token", "vec")
-
-
 def tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.split(F.lower("text"), "[^a-z]+").alias("tokens"))
 
@@ -88,14 +80,29 @@ def mean_token_vector_weighted(spark, sf):
  select v.vec_id::varchar as token, round(list_cosine_similarity(v.e, q.e), 6) as similarity from v, q order by list_cosine_similarity(v.e, q.e) desc, token limit 10""")
 def similar_tokens(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("token"), F.col("embedding").alias("vec"))
-    target = vectors.where("vec_id = 0").first()["vec"]
+    target = vectors.where("vec_id = 0").agg(F.min("vec")).scalar()
     return tx.similar_tokens(vectors, target, 10).withColumn("similarity", r6("similarity"))
 
 
-@query("impute_unknown_tokens")
+# every context against every token; similarities are compared to 12 digits
+IMPUTED = f"""with {VOCABULARY}, {TOKENS}, t as (select doc_id, unnest(tokens) as token, unnest(range(0, len(tokens)))::int as pos from tok),
+ kn as (select doc_id, pos as near, v from t join vec using (token)),
+ un as (select doc_id, pos, token from t where token not in (select token from vec)),
+ el as (select un.doc_id, un.pos, unnest(range(0, {DIM})) as d, unnest(v) as x from (select *, unnest(range(pos - 5, pos + 6)) as near from un) un join kn on kn.doc_id=un.doc_id and kn.near=un.near),
+ av as (select doc_id, pos, d, avg(x) as x from el group by 1,2,3), cx as (select doc_id, pos, list(x order by d) as c from av group by 1,2),
+ sim as (select cx.doc_id, cx.pos, vec.token, vec.v, round(list_cosine_similarity(cx.c, vec.v), 12) as s from cx cross join vec),
+ top as (select * from (select *, row_number() over (partition by doc_id, pos order by s desc, token) as r from sim) where r <= 2),
+ fi as (select doc_id, pos, list_transform(list_zip(min(v) filter (r=1), min(v) filter (r=2)), lambda z: (z[1] + z[2]) / 2) as v from top group by 1,2),
+ al as (select list(x order by d) as v from (select d, avg(x) as x from (select unnest(range(0, {DIM})) as d, unnest(v) as x from vec) group by 1))
+ select un.doc_id, un.pos, un.token, list_aggregate(list_transform(coalesce(fi.v, al.v), lambda x: round(x * 1000000)::bigint::varchar), 'string_agg', ',') as vec
+ from un left join fi using (doc_id, pos) cross join al"""
+
+
+@query("impute_unknown_tokens", IMPUTED)
 def impute_unknown_tokens(spark, sf):
-    found = tx.impute_unknown_tokens(tokens(spark, sf), first_words(spark, sf), SHORT, key="doc_id")
-    return found.select("doc_id", "pos", "token", *[r6(F.col("vec")[n]).alias(f"v{n}") for n in range(SHORT)])
+    found = tx.impute_unknown_tokens(tokens(spark, sf), stored(vocabulary(spark, sf)), DIM, key="doc_id")
+    text = F.array_join(F.transform("vec", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",")
+    return found.select("doc_id", "pos", "token", text.alias("vec"))
 
 
 @query("entity_features", sql("logs", body="""+ v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
@@ -138,6 +145,41 @@ def last_path_part(spark, sf):
     return raw_logs(spark, sf).select("id", last_part("properties.parent_image_path").alias("program"))
 
 
+def entity_vectors(spark, sf):
+    """(node, vec): one-hot type and text vector of every node of the transition graph."""
+    nodes = nodes_of(transition_edges(spark, sf)).select(F.col("node_id").alias("id"), "object_type")
+    text = table(spark, sf, "embeddings").select((F.col("vec_id") + 1).alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    found = tx.entity_features(nodes, "object_type", text, tx.NODE_FEATURE_TYPES, DIM)
+    return found.select(F.col("id").alias("node"), F.col("features").alias("vec"))
+
+
+WIDTH = len(tx.NODE_FEATURE_TYPES) + DIM
+# every feature of every edge worked out by itself, k = 20
+LINKS = f"""+ ev as (select node_id as node, [(object_type='PROCESS')::int::double, (object_type='FILE')::int::double] || coalesce(list_transform(embedding, lambda x: x::double), list_transform(range(0, {DIM}), lambda n: 0.0::double)) as v
+  from nodes left join embeddings on vec_id = node_id - 1),
+ hf as (select u as node, i as neighbor, ts_us, idx, 1 as o from tr union all select i, u, ts_us, idx, 0 from tr),
+ q as (select idx as qidx, 'src' as side, u as node, i as other, ts_us as at from tr union all select idx, 'dst', i, u, ts_us from tr),
+ al as (select q.*, hf.neighbor, hf.ts_us as nts, o, row_number() over (partition by qidx, side order by hf.ts_us desc, hf.idx desc, hf.neighbor desc, o desc) as r from q join hf on hf.node=q.node and hf.ts_us < q.at),
+ mv as (select qidx, side, list(x order by d) as s from (select a.qidx, a.side, e.d, sum(a.c * e.x) as x from (select qidx, side, neighbor, count(*) as c from al group by all) a join (select node, unnest(range(0, {WIDTH})) as d, unnest(v) as x from ev) e on e.node=a.neighbor group by 1,2,3) group by 1,2),
+ st as (select qidx, side, count(*) filter (r <= 20) as known, max(nts) as latest, count(*) as total, sum(o) as out, count(*) filter (r <= 20 and neighbor = other) as met, max(nts) filter (r <= 20 and neighbor = other) as met_at,
+  list_distinct(list(neighbor) filter (r <= 20)) as ids, {", ".join(f"avg(cos((at-nts)/1e6 * pow(10.0, -9.0 * {n} / 3))) filter (r <= 20) as w{n}" for n in range(4))} from al group by 1,2),
+ f as (select q.qidx, q.side, q.at, coalesce(known, 0)::double as known, ln(1 + coalesce((q.at - latest)/1e6, 1e7)) as age, ln(1 + coalesce(total, 0)) as total, ln(1 + coalesce(out, 0)) as out, coalesce(met, 0)::double as met,
+  met_at, coalesce(ids, []) as ids, {", ".join(f"coalesce(w{n}, 0) as w{n}" for n in range(4))}, coalesce(list_cosine_similarity(mv.s, ov.v), 0) as fit, sv.v as own
+  from q left join st using (qidx, side) left join mv using (qidx, side) join ev sv on sv.node=q.node join ev ov on ov.node=q.other)
+ select s.qidx as cid, {", ".join(f"round({a}.{n}, 6) as {name}_{n}" for a, name in (("s", "src"), ("d", "dst")) for n in ("known", "age", "total", "out", "fit"))},
+  s.met as met_in_src, d.met as met_in_dst, len(list_intersect(s.ids, d.ids))::double as common, round(ln(1 + coalesce((s.at - s.met_at)/1e6, 1e7)), 6) as met_ago, round(coalesce(list_cosine_similarity(s.own, d.own), 0), 6) as own_fit,
+  {", ".join(f"round({a}.w{n}, 6) as {name}_wave{n}" for a, name in (("s", "src"), ("d", "dst")) for n in range(4))}
+ from f s join f d on d.qidx=s.qidx and d.side='dst' where s.side='src'"""
+
+
+@query("link_features", sql("tr", "nodes", body=LINKS))
+def link_features(spark, sf):
+    edges = transition_edges(spark, sf)
+    candidates = edges.select(F.col("idx").alias("cid"), "u", "i", "ts_us")
+    found = linkmodel.link_features(candidates, edges, entity_vectors(spark, sf), WIDTH)
+    return found.select("cid", *[r6(c).alias(c) for c in linkmodel.FEATURES])
+
+
 @query("link_classifier")
 def link_classifier(spark, sf):
     """AUC of the fitted link score on later edges against random destinations."""
@@ -148,7 +190,7 @@ def link_classifier(spark, sf):
         drawn.select(F.concat(F.lit("n"), "idx").alias("cid"), *columns, F.lit(0).alias("label"))
     )
     cut = quantiles(edges, "ts_us", {"c": 0.7}).first()["c"]
-    features = stored(linkmodel.link_features(both, edges))
+    features = stored(linkmodel.link_features(both, edges, entity_vectors(spark, sf), WIDTH))
     model = linkmodel.fit_link_classifier(features.where(F.col("ts_us") <= cut))
     scored = linkmodel.score_links(model, features.where(F.col("ts_us") > cut))
     return roc_auc(scored).select(r6("auc", 3).alias("auc"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from edgetide.catalog.fixtures import flat_events, raw_logs, r6, sql, table
 from edgetide.catalog.registry import query
 from edgetide.functions.times import epoch_bucket
+from edgetide.functions.vectors import zeros
 from edgetide.operators import windows as wn
+from edgetide.operators.textfeatures import mean_token_vector
+from edgetide.plans.ordered import row_numbers
 from edgetide.session import stored
 from edgetide.schema import ACTIONS, NODE_TYPES
 
@@ -155,26 +158,44 @@ def window_encoding_totals(spark, sf):
         "value", r6("value", 3))
 
 
-@query("process_text_encoding", sql("logs", body=r"""+ v as (select vec_id, list_transform(embedding[1:4], lambda x: x::double) as e from embeddings),
- p as (select hostname, ts_us - ts_us % 86400000000 as window_us, e, sid, coalesce(contains(parent_image_path,'\Users\'), false) as pu,
-  coalesce(contains(image_path,'\Users\'), false) as cu from logs join v on vec_id = cast(pid as int) where object_type='PROCESS'),
- parts as (select hostname, window_us, unnest(range(0,12)) as pos, unnest([e[1],e[2],e[3],e[4],2*e[1],2*e[2],2*e[3],2*e[4],3*e[1],3*e[2],3*e[3],3*e[4]]) as x from p),
- cnt as (select hostname, window_us, unnest(range(12,23)) as pos, unnest([coalesce(contains(sid,'S-1-5-18'),false), coalesce(contains(sid,'S-1-5-19'),false), coalesce(contains(sid,'S-1-5-20'),false),
+# texts of processes as means of the vectors of their words; every seventh word has no vector
+WORDS = r"""+ tx as (select distinct t from (select unnest([image_path, parent_image_path, command_line]) as t from logs where object_type='PROCESS') where t is not null),
+ tk as (select t, unnest(string_split_regex(lower(t), '[^a-z0-9]+')) as token from tx),
+ nm as (select token, row_number() over (order by token) - 1 as n from (select distinct token from tk where token <> '')),
+ vc as (select token, list_transform(embedding, lambda x: x::double) as v from nm join embeddings on vec_id = n % (select count(*) from embeddings) where n % 7 <> 0),
+ al as (select d, avg(x) as x from (select unnest(range(0,64)) as d, unnest(v) as x from vc) group by 1),
+ kn as (select t, d, avg(x) as x from (select t, unnest(range(0,64)) as d, unnest(v) as x from tk join vc using (token)) group by 1,2),
+ tv as (select tx.t, al.d, coalesce(kn.x, al.x) as x from tx cross join al left join kn on kn.t=tx.t and kn.d=al.d),
+ p as (select hostname, ts_us - ts_us % 86400000000 as window_us, image_path, parent_image_path, command_line, sid, coalesce(contains(parent_image_path,'\Users\'), false) as pu,
+  coalesce(contains(image_path,'\Users\'), false) as cu from logs where object_type='PROCESS'),
+ ws as (select hostname, window_us, unnest([0,1,2]) as part, unnest([image_path, parent_image_path, command_line]) as t from p),
+ parts as (select ws.hostname, ws.window_us, part*64 + g.d as pos, coalesce(tv.x, 0.0) as x from ws cross join (select unnest(range(0,64)) as d) g left join tv on tv.t=ws.t and tv.d=g.d),
+ cnt as (select hostname, window_us, unnest(range(192,203)) as pos, unnest([coalesce(contains(sid,'S-1-5-18'),false), coalesce(contains(sid,'S-1-5-19'),false), coalesce(contains(sid,'S-1-5-20'),false),
   coalesce(contains(sid,'S-1-5-21'),false), false, false, sid is null, pu and cu, pu and not cu, not pu and cu, not pu and not cu])::int as x from p)
- select hostname, window_us, pos::int as pos, round(avg(x),6) as value from parts group by 1,2,3 union all select hostname, window_us, pos::int, sum(x)::double from cnt group by 1,2,3"""))
+ select hostname, window_us, pos::int as pos, round(avg(x),6) as value from parts group by 1,2,3 union all select hostname, window_us, pos::int, sum(x)::double from cnt group by 1,2,3"""
+
+
+def word_vectors(spark, sf, texts, dim):
+    """(token, vec): the words of ``texts`` in order, each with the next embedding, but every seventh."""
+    words = texts.select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("token")).where("token <> ''").distinct()
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    numbered = row_numbers(words, ["token"], "n", start=0).where("n % 7 <> 0").withColumn("_c", vectors.agg(F.count("*")).scalar())
+    return numbered.withColumn("vec_id", F.pmod("n", "_c")).join(vectors, "vec_id").select("token", "vec")
+
+
+@query("process_text_encoding", sql("logs", body=WORDS))
 def process_text_encoding(spark, sf):
-    vectors = table(spark, sf, "embeddings").select(
-        F.col("vec_id").cast("string").alias("pid"), F.slice("embedding", 1, 4).cast("array<double>").alias("image_vec")
-    )
-    logs = raw_logs(spark, sf).where("object = 'PROCESS'").join(vectors, "pid")
+    parts = ["image_path", "parent_image_path", "command_line"]
+    logs = raw_logs(spark, sf).where("object = 'PROCESS'")
     us = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    times = lambda n: F.transform("image_vec", lambda x: x * n)
-    rows = logs.select(
-        "hostname", (us - F.pmod(us, F.lit(86_400_000_000))).alias("window_us"), "image_vec",
-        times(2).alias("parent_vec"), times(3).alias("command_vec"), "properties.sid", "properties.image_path",
-        "properties.parent_image_path",
-    )
-    found = wn.process_text_encoding(rows, 4).select(*wn.KEY, F.posexplode("encoding").alias("pos", "value"))
+    rows = logs.select("hostname", (us - F.pmod(us, F.lit(86_400_000_000))).alias("window_us"), *[f"properties.{c}" for c in [*parts, "sid"]])
+    # equal texts are encoded once
+    texts = stored(rows.select(F.explode(F.array(*parts)).alias("text")).where("text is not null").distinct())
+    tokens = texts.select(F.col("text").alias("id"), F.split(F.lower("text"), "[^a-z0-9]+").alias("tokens"))
+    encoded = stored(mean_token_vector(tokens, stored(word_vectors(spark, sf, texts, 64)), 64))
+    for part, name in zip(parts, ("image_vec", "parent_vec", "command_vec")):
+        rows = rows.join(encoded.select(F.col("id").alias(part), F.col("vec").alias(name)), part, "left").withColumn(name, F.coalesce(name, zeros(64)))
+    found = wn.process_text_encoding(rows, 64).select(*wn.KEY, F.posexplode("encoding").alias("pos", "value"))
     return found.withColumn("value", r6("value"))
 
 

@@ -42,7 +42,12 @@ def parent_child_user(parent, child) -> Column:
 
 
 def edge_code(u, i, multiplier: int) -> Column:
-    return _col(u) * F.lit(multiplier) + _col(i)
+    """u * multiplier + i, which ``edge_decode`` reverses; ids for which it could not (i outside [0, multiplier), u negative or
+    so large that the code leaves the range of a long) are an error, as two edges would share a code."""
+    u, i = _col(u).cast("long"), _col(i).cast("long")
+    fits = (i >= 0) & (i < multiplier) & (u >= 0) & (u <= ((1 << 63) - multiplier) // multiplier)
+    code = u * F.lit(multiplier).cast("long") + i
+    return F.when(fits, code).when(u.isNotNull() & i.isNotNull(), F.raise_error(F.lit("ids do not fit the edge code")).cast("long"))
 
 
 def edge_decode(code, multiplier: int) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgetide.functions.times import micros, parse_ts
-from edgetide.plans.ordered import row_numbers
+from edgetide.plans.ordered import row_numbers, running_totals
 from edgetide.schema import BATCH, OBJECT_TYPES
 
 
@@ -47,7 +47,10 @@ def text_corpus(events: DataFrame) -> DataFrame:
 
 
 def endpoints_of(events: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Two rows per event: the actor as PROCESS (role 0) with its image, the object (role 1) with its file."""
+    """Two rows per event: the actor as PROCESS (role 0) with its image, the object (role 1) with its file.
+
+    ``order`` names all columns of the event that the rows keep.
+    """
     actor = F.struct(
         F.lit("PROCESS").alias("object_type"), F.col("actor_id").alias("id"), F.lit(0).alias("role"),
         F.col("image_path").alias("path"),
@@ -63,14 +66,24 @@ def first_non_null(value: str, order: Sequence[str]) -> Column:
     return F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
 
 
-def assign_node_ids(events: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Nodes with dense ids from 1 by first appearance (actor before object in one event) and first known path."""
-    seen = endpoints_of(events, order)
+def assign_node_ids(events: DataFrame, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Nodes with dense ids from 1 by first appearance (actor before object in one event) and first known path.
+
+    ``within`` (non-null, e.g. a host) gives every one of its values ids of its own, from 1.
+    """
+    seen = endpoints_of(events, [*within, *order])
     place = [*order, "role"]
-    nodes = seen.groupBy("object_type", "id").agg(
+    nodes = seen.groupBy(*within, "object_type", "id").agg(
         F.min(F.struct(*place)).alias("_first"), first_non_null("path", place).alias("path")
     )
-    return row_numbers(nodes, ["_first"], "node_id").select("node_id", "object_type", "id", "path")
+    return _numbered(nodes, ["_first"], "node_id", within).select(*within, "node_id", "object_type", "id", "path")
+
+
+def _numbered(rows: DataFrame, order: Sequence[str], name: str, within: Sequence[str]) -> DataFrame:
+    """Dense numbers from 1, over all rows or inside each key; a busy key is spread over several partitions."""
+    if within:
+        return running_totals(rows, list(within), order, {name: F.lit(1).cast("long")})
+    return row_numbers(rows, order, name)
 
 
 def assign_sorted_node_ids(keys: DataFrame, key: str) -> DataFrame:
@@ -78,24 +91,33 @@ def assign_sorted_node_ids(keys: DataFrame, key: str) -> DataFrame:
     return row_numbers(keys.select(key).distinct(), [key], "node_id", start=0)
 
 
-def assign_edge_ids(events: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``idx`` from 1 by time; equal times keep input order."""
-    return row_numbers(events, ["ts_us", *order], "idx")
-
-
-def build_graph(events: DataFrame, order: Sequence[str]) -> dict[str, DataFrame]:
-    """Edges, edge features, nodes and corpus of filtered, timed, labelled events."""
-    nodes = assign_node_ids(events, order)
-    key = nodes.select("node_id", "object_type", "id")
-    src = key.where("object_type = 'PROCESS'").select(F.col("node_id").alias("u"), F.col("id").alias("actor_id"))
-    dst = key.select(F.col("node_id").alias("i"), "object_type", F.col("id").alias("object_id"))
-    joined = events.join(src, "actor_id").join(dst, ["object_type", "object_id"])
-    numbered = assign_edge_ids(joined, order)
+def assign_edge_ids(events: DataFrame, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """``idx`` from 1 by time, inside each key of ``within`` if given; equal times keep input order."""
+    return _numbered(events, ["ts_us", *order], "idx", within)
+
+
+def build_graph(events: DataFrame, order: Sequence[str], host: str | None = None) -> dict[str, DataFrame]:
+    """Edges, edge features, nodes and corpus of filtered, timed, labelled events.
+
+    ``host`` names the events' host column: every host, in lower case, is then a graph of its own, with node and edge ids
+    from 1, and all tables carry ``hostname``. Events without host are a graph with an empty name.
+    """
+    within = []
+    if host:
+        events = events.withColumn("hostname", F.lower(F.coalesce(F.col(host), F.lit(""))))
+        within = ["hostname"]
+    nodes = assign_node_ids(events, order, within)
+    key = nodes.select(*within, "node_id", "object_type", "id")
+    src = key.where("object_type = 'PROCESS'").select(*within, F.col("node_id").alias("u"), F.col("id").alias("actor_id"))
+    dst = key.select(*within, F.col("node_id").alias("i"), "object_type", F.col("id").alias("object_id"))
+    joined = events.join(src, [*within, "actor_id"]).join(dst, [*within, "object_type", "object_id"])
+    numbered = assign_edge_ids(joined, order, within)
+    texts = F.explode(F.array("image_path", "file_path", "command_line")).alias("text")
     return {
-        "edges": numbered.select("u", "i", "ts_us", "label", "idx"),
-        "edge_features": numbered.select("idx", "action_type", "command_line"),
-        "nodes": nodes.select("node_id", "object_type", "path"),
-        "corpus": text_corpus(events),
+        "edges": numbered.select(*within, "u", "i", "ts_us", "label", "idx"),
+        "edge_features": numbered.select(*within, "idx", "action_type", "command_line"),
+        "nodes": nodes.select(*within, "node_id", "object_type", "path"),
+        "corpus": events.select(*within, texts).where("text is not null"),
     }
 
 

@@ -128,12 +128,49 @@ def confusion(predictions: DataFrame, by: Sequence[str] = (), label: str = "labe
     counts = predictions.groupBy(*by).agg(
         cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp")
     )
+    return counts.select("*", *rates())
+
+
+def rates() -> list[Column]:
+    """Accuracy, precision, recall and F1 of the columns tn, fp, fn, tp; 0 where undefined."""
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     share = lambda top, bottom: F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
-    return counts.select(
-        "*", share(tp + tn, tp + tn + fp + fn).alias("accuracy"), share(tp, tp + fp).alias("precision"),
+    return [
+        share(tp + tn, tp + tn + fp + fn).alias("accuracy"), share(tp, tp + fp).alias("precision"),
         share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"),
-    )
+    ]
+
+
+def sweep_report(scored: DataFrame, form: str = "roc", flag: Column | None = None) -> DataFrame:
+    """One row from one ranking of ``scored`` (score, label): AUC, average precision, best F1 with its threshold, and the
+    confusion of the rows above that threshold (at or above it for the form ``pr``), or of the rows that ``flag`` marks.
+
+    Rows are folded to distinct scores once; the fold carries the flagged ones along, and the confusion at a threshold is
+    a pair of running totals, so nothing is scanned or ranked again.
+    """
+    one, hit = F.col("label").cast("long"), (F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))).cast("long")
+    folded = scored.groupBy("score").agg(
+        F.sum(one).alias("_p"), F.sum(1 - one).alias("_n"), F.sum(one * hit).alias("_fp"), F.sum((1 - one) * hit).alias("_fn"))
+    ranked = running_totals(folded, [], [F.col("score").desc()], {"tp": F.col("_p"), "fp": F.col("_n")})
+    total = ranked.agg(F.max("tp")).scalar()
+    tp, fp = F.col("tp"), F.col("fp")
+    if form == "roc":  # strictly above the threshold; the highest threshold among equals
+        f1, tie, above = F.lit(2.0) * tp / (tp + fp + F.col("P")), F.col("score"), (tp - F.col("_p"), fp - F.col("_n"))
+    else:
+        precision, recall = tp / (tp + fp), F.try_divide(tp, F.col("P"))
+        f1, tie, above = F.lit(2.0) * (precision * recall) / (precision + recall + F.lit(1e-8)), -F.col("score"), (tp, fp)
+    best = F.max(F.struct(f1.alias("f1"), tie.alias("tie"), F.col("score").cast("double").alias("at"), above[0].alias("tp"), above[1].alias("fp")))
+    wins = F.sum(F.col("_n").cast("double") * (tp - F.col("_p") / F.lit(2.0)))
+    found = ranked.withColumn("P", total).agg(
+        F.max("tp").alias("positives"), F.max("fp").alias("negatives"), wins.alias("_wins"),
+        F.sum(F.col("_p") * tp / (tp + fp)).alias("_gained"), best.alias("_b"), F.sum("_fp").alias("_ftp"), F.sum("_fn").alias("_ffp"))
+    p, n = F.col("positives"), F.col("negatives")
+    hits, alarms = (F.col("_b.tp"), F.col("_b.fp")) if flag is None else (F.col("_ftp"), F.col("_ffp"))
+    cells = found.select(
+        "positives", "negatives", F.try_divide("_wins", p.cast("double") * n).alias("auc"), F.try_divide("_gained", p).alias("ap"),
+        F.col("_b.f1").alias("best_f1"), F.col("_b.at").alias("best_threshold"),
+        (n - alarms).alias("tn"), alarms.alias("fp"), (p - hits).alias("fn"), hits.alias("tp"))
+    return cells.select("*", *rates())
 
 
 def calibration_curve(scored: DataFrame, bins: int = 50, score: str = "score", label: str = "label") -> DataFrame:

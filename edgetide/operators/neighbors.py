@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from edgetide.functions.vectors import time_encode, zeros
 from edgetide.operators.events import half_edges
 from edgetide.plans.ordered import last_at_or_before, last_before, running_totals
 from edgetide.plans.sampling import draw, uniform
+from edgetide.session import stored
 
 ENTRY = ["neighbor", "ts_us", "idx"]
 
@@ -84,12 +89,11 @@ def uniform_neighbors(queries: DataFrame, edges: DataFrame, k: int, seed: int =
     return draws.join(items, ["node", "spot"]).drop("earlier")
 
 
-def time_aware_neighbors(queries: DataFrame, edges: DataFrame, k: int, scaling: float = 1e-6, seed: int = 0) -> DataFrame:
-    """k draws with replacement, later interactions preferred.
+def weighted_timeline(edges: DataFrame, scaling: float = 1e-6) -> DataFrame:
+    """``node_timeline`` with each interaction's ``_mass`` and the running ``_upto`` of its node.
 
     An interaction's weight is exp(scaling * (t - node's last t)) over the running sum of those terms (t in
-    seconds); draws follow the softmax of the weights of earlier interactions. Each interaction owns an
-    interval of the running softmax mass and a draw picks the interval it falls into.
+    seconds); its mass is the exponential of the weight, so draws proportional to mass follow the softmax of the weights.
     """
     halves = half_edges(edges)
     final = halves.groupBy("node").agg(F.max("ts_us").alias("_final"))
@@ -98,52 +102,119 @@ def time_aware_neighbors(queries: DataFrame, edges: DataFrame, k: int, scaling:
     terms = running_totals(halves.join(final, "node").withColumn("_term", term), ["node"], order,
                            {"_sum": F.col("_term"), "spot": F.lit(1)})
     mass = F.when(F.col("_sum") > 0, F.exp(F.col("_term") / F.col("_sum"))).otherwise(F.lit(0.0))
-    line = running_totals(terms.withColumn("_mass", mass), ["node"], order, {"_upto": F.col("_mass")})
+    return running_totals(terms.withColumn("_mass", mass), ["node"], order, {"_upto": F.col("_mass")})
+
+
+def _earlier_mass(line: DataFrame, queries: DataFrame) -> DataFrame:
+    """``queries`` (node, ts_us) plus the mass and number of strictly earlier interactions."""
     ends = line.groupBy("node", "ts_us").agg(F.max("_upto").alias("_total"), F.max("spot").alias("earlier"))
     marks = ends.select("node", (F.col("ts_us") + 1).alias("at"), "_total", "earlier")
-    counted = last_at_or_before(marks, queries.withColumn("at", F.col("ts_us")), ["node"], "at", ["_total", "earlier"])
-    draws = counted.drop("at").where("_total > 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return last_at_or_before(marks, queries.withColumn("at", F.col("ts_us")), ["node"], "at", ["_total", "earlier"]).drop("at")
+
+
+def _intervals(line: DataFrame) -> DataFrame:
+    """Each interaction at the start of its interval of the node's running mass."""
+    return line.where("_mass > 0").select(
+        "node", (F.col("_upto") - F.col("_mass")).alias("at"), "spot", "neighbor", F.col("ts_us").alias("nbr_ts_us"), F.col("idx").alias("nbr_idx"))
+
+
+def time_aware_neighbors(queries: DataFrame, edges: DataFrame, k: int, scaling: float = 1e-6, seed: int = 0) -> DataFrame:
+    """k draws with replacement, later interactions preferred (see ``weighted_timeline``).
+
+    Each interaction owns an interval of the running mass and a draw picks the interval it falls into.
+    """
+    line = weighted_timeline(edges, scaling)
+    draws = _earlier_mass(line, queries).where("_total > 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     draws = draws.withColumn("at", uniform(seed, "qid", "j") * F.col("_total")).drop("_total")
-    items = line.select(
-        "node", (F.col("_upto") - F.col("_mass")).alias("at"), "neighbor", F.col("ts_us").alias("nbr_ts_us"),
-        F.col("idx").alias("nbr_idx"),
-    ).where("_mass > 0")
-    return last_at_or_before(items, draws, ["node"], "at", ["neighbor", "nbr_ts_us", "nbr_idx"]).drop("at", "earlier")
+    found = last_at_or_before(_intervals(line), draws, ["node"], "at", ["neighbor", "nbr_ts_us", "nbr_idx"])
+    return found.drop("at", "earlier")
 
 
-def multi_hop_neighbors(queries: DataFrame, edges: DataFrame, hops: int, k: int) -> DataFrame:
+STRATEGIES = ("recent", "uniform", "time_aware")
+
+
+class Sampler(NamedTuple):
+    """How a hop picks ``k`` neighbours: the ``recent`` ones, or draws with replacement from the stored time lines ``line``."""
+
+    edges: DataFrame
+    strategy: str
+    k: int
+    seed: int
+    line: DataFrame | None
+
+
+def sampler(edges: DataFrame, k: int, strategy: str = "recent", scaling: float = 1e-6, seed: int = 0) -> Sampler:
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}")
+    line = None if strategy == "recent" else stored(node_timeline(edges) if strategy == "uniform" else weighted_timeline(edges, scaling))
+    return Sampler(edges, strategy, k, seed, line)
+
+
+def next_hop(frontier: DataFrame, pick: Sampler) -> DataFrame:
+    """One hop from every row of ``frontier`` (qid, walk, node, ts_us, ...): a row per neighbour found, with its ``place``.
+
+    ``walk`` holds the places taken so far; a place is the neighbour's position, by time, among the k. Rows whose node has
+    no earlier interaction end. Draws are a function of the seed, the query, the walk and their number. What a node offers at
+    a moment is asked once for each distinct (node, moment), however many walks stand there.
+    """
+    k = pick.k
+    if pick.strategy == "recent":
+        found = recent_neighbors(frontier, pick.edges, k).where("recent is not null").withColumn("_n", F.size("recent"))
+        rows = found.select(*frontier.columns, "_n", F.posexplode("recent").alias("_p", "_r"))
+        place = (F.lit(k) - F.col("_n") + F.col("_p")).cast("int")  # lists are padded on the left
+        return rows.select(*frontier.columns, place.alias("place"), F.col("_r.neighbor").alias("neighbor"),
+                           F.col("_r.ts_us").alias("nbr_ts_us"), F.col("_r.idx").alias("nbr_idx"))
+    asked = frontier.select("node", "ts_us").distinct()
+    keys = ["qid", F.array_join("walk", ","), "_j"]
+    number = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    if pick.strategy == "uniform":
+        counted = earlier_counts(asked, pick.line).where("earlier > 0")
+        draws = frontier.join(counted, ["node", "ts_us"]).withColumn("_j", number)
+        draws = draws.withColumn("spot", F.pmod(draw(pick.seed, *keys), "earlier") + 1)
+        items = pick.line.select("node", "spot", "neighbor", F.col("ts_us").alias("nbr_ts_us"), F.col("idx").alias("nbr_idx"))
+        found = draws.join(items, ["node", "spot"])
+    else:
+        counted = _earlier_mass(pick.line, asked).where("_total > 0").select("node", "ts_us", "_total")
+        draws = frontier.join(counted, ["node", "ts_us"]).withColumn("_j", number)
+        draws = draws.withColumn("at", uniform(pick.seed, *keys) * F.col("_total")).drop("_total")
+        found = last_at_or_before(_intervals(pick.line), draws, ["node"], "at", ["spot", "neighbor", "nbr_ts_us", "nbr_idx"])
+    by_time = Window.partitionBy("qid", "walk").orderBy("spot", "_j")  # k draws
+    placed = found.withColumn("place", (F.row_number().over(by_time) - 1).cast("int"))
+    return placed.select(*frontier.columns, "place", "neighbor", "nbr_ts_us", "nbr_idx")
+
+
+def _roots(queries: DataFrame) -> DataFrame:
+    return queries.select("qid", "node", "ts_us", F.array().cast("array<int>").alias("walk"))
+
+
+def multi_hop_neighbors(
+    queries: DataFrame, edges: DataFrame, hops: int, k: int, strategy: str = "recent", scaling: float = 1e-6, seed: int = 0
+) -> DataFrame:
     """One row per (query, path of places): hop n+1 asks for the neighbour found at hop n at its own time.
 
     ``queries`` needs ``qid``. ``hop`` counts from 1, ``walk`` holds the places taken (0 oldest); padding
-    rows are left out.
+    rows are left out. Each hop takes the most recent neighbours, or draws uniformly or by time (see ``next_hop``).
     """
-    current = queries.select("qid", "node", "ts_us", F.array().cast("array<int>").alias("walk"))
-    levels = []
+    pick, current, out = sampler(edges, k, strategy, scaling, seed), _roots(queries), None
     for hop in range(1, hops + 1):
-        found = recent_neighbors(current, edges, k).where("recent is not null").select(
-            "qid", "walk", F.size("recent").alias("_n"), F.posexplode("recent").alias("_p", "_r")
-        )
-        place = (F.lit(k) - F.col("_n") + F.col("_p")).cast("int")  # lists are padded on the left
-        level = found.select("qid", F.concat("walk", F.array(place)).alias("walk"), *_entries("_r"))
-        levels.append(level.withColumn("hop", F.lit(hop)))
+        found = next_hop(current, pick).select(
+            "qid", F.concat("walk", F.array("place")).alias("walk"), "neighbor", F.col("nbr_ts_us").alias("ts_us"), F.col("nbr_idx").alias("idx"))
+        level = (found if hop == hops else stored(found)).withColumn("hop", F.lit(hop))
+        out = level if out is None else out.unionByName(level)
         current = level.select("qid", F.col("neighbor").alias("node"), "ts_us", "walk")
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
     return out
 
 
-def temporal_walks(queries: DataFrame, edges: DataFrame, hops: int, k: int) -> DataFrame:
-    """Root-first walks of exactly ``hops`` steps, one row each, as arrays of nodes and times."""
-    path = queries.select(
-        "qid", "node", "ts_us", F.array("node").alias("nodes"), F.array("ts_us").alias("times")
-    )
+def temporal_walks(
+    queries: DataFrame, edges: DataFrame, hops: int, k: int, strategy: str = "recent", scaling: float = 1e-6, seed: int = 0
+) -> DataFrame:
+    """Root-first walks of exactly ``hops`` steps, one row each, as arrays of nodes and times; steps as in ``next_hop``."""
+    pick = sampler(edges, k, strategy, scaling, seed)
+    path = _roots(queries).withColumns({"nodes": F.array("node"), "times": F.array("ts_us")})
     for _ in range(hops):
-        step = recent_neighbors(path, edges, k).where("recent is not null")
-        path = step.select("qid", "nodes", "times", F.explode("recent").alias("_r")).select(
-            "qid", F.col("_r.neighbor").alias("node"), F.col("_r.ts_us").alias("ts_us"),
-            F.concat("nodes", F.array("_r.neighbor")).alias("nodes"), F.concat("times", F.array("_r.ts_us")).alias("times"),
-        )
+        path = next_hop(path, pick).select(
+            "qid", F.concat("walk", F.array("place")).alias("walk"), F.col("neighbor").alias("node"), F.col("nbr_ts_us").alias("ts_us"),
+            F.concat("nodes", F.array("neighbor")).alias("nodes"), F.concat("times", F.array("nbr_ts_us")).alias("times"))
     return path.select("qid", "nodes", "times")
 
 
@@ -186,9 +257,12 @@ def neighbor_mean(
     """Own vector plus the mean vector of the last ``gap`` earlier neighbours (zeros without any).
 
     ``queries`` needs ``qid``; ``vectors`` is (node, vec). ``divisor="padded"`` divides the mean once more by ``gap``.
+    Running sums cannot lose a component that is not finite, so a neighbour whose vector has one (or a null) counts as
+    one without vector.
     """
+    finite = vectors.where(~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     # running totals along each node's time line: the sum over a gap is a difference of two of its rows, no list is built
-    met = half_edges(edges).join(vectors.select(F.col("node").alias("neighbor"), F.col("vec").alias("_vec")), "neighbor", "left")
+    met = half_edges(edges).join(finite.select(F.col("node").alias("neighbor"), F.col("vec").alias("_vec")), "neighbor", "left")
     names = [f"_s{n}" for n in range(dim)]
     parts = {"spot": F.lit(1), "_known": F.col("_vec").isNotNull().cast("long")}
     parts |= {name: F.coalesce(F.col("_vec")[n], F.lit(0.0)) for n, name in enumerate(names)}
@@ -291,71 +365,125 @@ def first_contacts(edges: DataFrame) -> DataFrame:
     return half_edges(edges).groupBy("node", "neighbor").agg(F.min("ts_us").alias("first_us"))
 
 
-def two_hop_non_neighbors(edges: DataFrame, max_neighbors: int = 100, stop_after: int = 20) -> DataFrame:
-    """Per edge: a sample of nodes two hops from u over strictly earlier edges, without u and its neighbours.
+class TwoHop(NamedTuple):
+    """Two-hop sets as rows; nothing in it is longer than the edges, their neighbours up to the limit, or the pairs.
 
-    A sampling operator: at most ``max_neighbors`` neighbours are expanded, and expansion stops after the
-    neighbour that brings the collected nodes above ``stop_after``. A neighbour offers all nodes it met before the edge,
-    so a list can be as long as the contacts of its last neighbour. Neighbours are taken in the order they were first met, so the choice at any time is a
-    prefix of one fixed list per node. That list is built once per node and every edge reads it, instead of
-    expanding all pairs around a hub again for every edge.
+    ``contacts`` (node, neighbor, first_us, place): everyone a node met, numbered from 1 in order. ``moments`` (u, ts_us, set_us):
+    the moments of edges whose source has a set to look at, and the earliest moment with the very same set. ``reach``
+    (u, set_us, known, rank, via, offers): the neighbours that are expanded; the node ``via`` offers its first ``offers``
+    contacts, and the first ``known`` contacts of u are its direct neighbours.
     """
-    met = first_contacts(edges)
-    order = Window.partitionBy("node").orderBy("first_us", "neighbor")
-    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_neighbors)
-    offers = met.select(
-        F.col("node").alias("via"), F.col("neighbor").alias("far"), F.col("first_us").alias("far_us"),
-        F.col("first_us").alias("far_rank"),
-    )
-    near = ranked.select(
-        "node", "rank", F.col("neighbor").alias("via"), F.col("first_us").alias("via_us")
-    )
-    direct = met.select("node", F.col("neighbor").alias("far"), F.col("first_us").alias("direct_us"))
-    wide = near.join(offers, "via").join(direct, ["node", "far"], "left")
-    reach = wide.groupBy("node", "rank", "via_us").agg(
-        F.sort_array(F.collect_list(F.struct("far_rank", "far", "far_us", "direct_us"))).alias("offers")
-    ).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "via_us", "offers"))).alias("reach"))
-
-    node_entry = "array<struct<far:bigint,direct_us:bigint>>"
-
-    def offered(e: Column, until: Column | None) -> Column:
-        offers = e["offers"] if until is None else F.filter(e["offers"], lambda o: o["far_us"] < until)
-        return F.transform(offers, lambda o: F.struct(o["far"].alias("far"), o["direct_us"].alias("direct_us")))
-
-    # late edges see every offer of the first few neighbours and stop there; that short list and the moment
-    # from which it is complete are worked out once per node
-    start = F.struct(
-        F.array().cast(node_entry).alias("taken"), F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("settled_us")
-    )
 
-    def settle(state: Column, e: Column) -> Column:
-        latest = F.greatest(state["settled_us"], e["via_us"], F.array_max(F.transform(e["offers"], lambda o: o["far_us"])))
-        more = F.struct(
-            F.array_union(state["taken"], offered(e, None)).alias("taken"), (state["n"] + 1).alias("n"),
-            latest.alias("settled_us"),
-        )
-        return F.when(F.size(state["taken"]) > stop_after, state).otherwise(more)
+    contacts: DataFrame
+    moments: DataFrame
+    reach: DataFrame
 
-    reach = reach.withColumn("_s", F.aggregate("reach", start, settle)).select(
-        "node", "reach", F.slice("reach", F.lit(1), F.col("_s.n")).alias("first_reach"), "_s.settled_us"
-    )
-    moment = F.col("ts_us")
 
-    def expand(taken: Column, e: Column) -> Column:
-        done = (F.size(taken) > stop_after) | (e["via_us"] >= moment)
-        return F.when(done, taken).otherwise(F.array_union(taken, offered(e, moment)))
+def _stops(seen: DataFrame, need: int) -> DataFrame:
+    """(node, at, stop): from the moment ``at`` on, neighbours up to rank ``stop`` offer ``need`` nodes together.
 
-    visible = F.when(F.col("settled_us") < moment, F.col("first_reach")).otherwise(F.col("reach"))
-    collected = F.aggregate(visible, F.array().cast(node_entry), expand)
-    fresh = F.filter(
-        collected, lambda c: (c["far"] != F.col("u")) & (c["direct_us"].isNull() | (c["direct_us"] >= moment))
-    )
-    listed = F.array_sort(F.transform(fresh, lambda c: c["far"]))
-    joined = edges.select("idx", "u", "i", "ts_us").join(reach.withColumnRenamed("node", "u"), "u", "left")
+    ``seen`` (node, rank, far, from_us) holds at most ``max_neighbors * need`` rows per node. For growing ranks the ``need``
+    earliest visible nodes are kept; a node that drops out can only come back with an earlier time of its own.
+    """
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        node, rank, earliest, settled, out = None, None, {}, None, []
+
+        def close() -> None:
+            nonlocal settled
+            if len(earliest) == need and (settled is None or max(earliest.values()) < settled):
+                settled = max(earliest.values())
+                out.append((node, settled + 1, rank))
+
+        for batch in batches:
+            for n, r, far, from_us in zip(batch["node"], batch["rank"], batch["far"], batch["from_us"]):
+                if (n, r) != (node, rank):
+                    close()
+                    if n != node:
+                        earliest, settled = {}, None
+                    node, rank = n, r
+                if settled is not None and from_us >= settled:
+                    continue
+                if from_us < earliest.get(far, from_us + 1):
+                    earliest[far] = from_us
+                    if len(earliest) > need:
+                        del earliest[max(earliest, key=earliest.get)]
+            yield pd.DataFrame(out, columns=["node", "at", "stop"])
+            out = []
+        close()
+        yield pd.DataFrame(out, columns=["node", "at", "stop"])
+
+    dealt = seen.repartition("node").sortWithinPartitions("node", "rank")
+    return dealt.mapInPandas(settle, "node long, at long, stop long")
+
+
+def two_hop_sets(edges: DataFrame, max_neighbors: int = 100, stop_after: int = 20) -> TwoHop:
+    """Which neighbours of u every edge expands, and how much each of them offers, over strictly earlier edges.
+
+    A sampling operator: neighbours are taken in the order they were first met, at most ``max_neighbors`` of them, and expansion
+    stops after the neighbour that brings the collected nodes above ``stop_after``; a neighbour offers all it met before the
+    edge. Whether a neighbour is the last one can be told from its first ``stop_after + 1`` contacts alone, so moments at
+    which the choice changes are found from rows of bounded number per node. Neighbours that met nobody but u offer nothing.
+    """
+    met = first_contacts(edges)
+    contacts = stored(running_totals(met, ["node"], ["first_us", "neighbor"], {"place": F.lit(1).cast("long")}))
+    sources = edges.select(F.col("u").alias("node")).distinct()
+    near = contacts.where(F.col("place") <= max_neighbors).join(sources, "node", "left_semi").select(
+        "node", F.col("place").alias("rank"), F.col("neighbor").alias("via"), F.col("first_us").alias("via_us"))
+    first_offers = contacts.where(F.col("place") <= stop_after + 1).select(
+        F.col("node").alias("via"), F.col("neighbor").alias("far"), F.col("first_us").alias("far_us"))
+    seen = near.join(first_offers, "via").select("node", "rank", "far", F.greatest("via_us", "far_us").alias("from_us"))
+    stops = _stops(seen, stop_after + 1).groupBy("node", "at").agg(F.min("stop").alias("stop"))
+
+    # how many contacts a node has at a moment
+    marks = contacts.groupBy("node", (F.col("first_us") + 1).alias("at")).agg(F.max("place").alias("known"))
+    asked = edges.select(F.col("u").alias("node"), F.col("ts_us").alias("at")).distinct()
+    known = last_at_or_before(marks, asked, ["node"], "at", ["known"]).where("known is not null")
+    bounded = last_at_or_before(stops, known, ["node"], "at", ["stop"])
+    taken = bounded.withColumn("_taken", F.least("known", F.coalesce("stop", F.lit(max_neighbors).cast("long"))))
+
+    social = marks.groupBy(F.col("node").alias("via")).agg(F.max("known").alias("_n")).where("_n > 1").select("via")
+    useful = near.join(social, "via", "left_semi").select("node", "rank", "via")
+    expanded = taken.join(useful, "node").where("rank <= _taken").select(
+        F.col("node").alias("u"), "known", "_taken", "rank", F.col("via").alias("node"), "at")
+    counted = last_at_or_before(marks.withColumnRenamed("known", "offers"), expanded, ["node"], "at", ["offers"]).where("offers > 1")
+    counted = stored(counted.select("u", F.col("at").alias("ts_us"), "known", "_taken", "rank", F.col("node").alias("via"), "offers"))
+    # counts only grow with time, so moments with equal counts have equal sets
+    states = counted.groupBy("u", "ts_us", "known", "_taken").agg(F.sum("offers").alias("_offered"))
+    alike = states.groupBy("u", "known", "_taken", "_offered").agg(F.min("ts_us").alias("set_us"))
+    moments = states.join(alike, ["u", "known", "_taken", "_offered"]).select("u", "ts_us", "set_us")
+    reach = counted.withColumnRenamed("ts_us", "set_us").join(alike.select("u", "set_us").distinct(), ["u", "set_us"], "left_semi")
+    return TwoHop(contacts, stored(moments), reach.drop("_taken"))
+
+
+def two_hop_members(sets: TwoHop, reach: DataFrame | None = None, share: int = 100_000) -> DataFrame:
+    """(u, set_us, far): the nodes of every set, without u and its direct neighbours.
+
+    A busy node's contacts are read in shares of at most ``share`` rows, so they spread over many tasks.
+    """
+    part = lambda c: F.floor((F.col(c) - 1) / share)
+    asked = (sets.reach if reach is None else reach).withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), part("offers"))))
+    offered = sets.contacts.select(F.col("node").alias("via"), F.col("neighbor").alias("far"), "place", part("place").alias("_share"))
+    far = asked.join(offered, ["via", "_share"]).where("place <= offers and far <> u").select("u", "set_us", "known", "far").distinct()
+    direct = sets.contacts.select(F.col("node").alias("u"), F.col("neighbor").alias("far"), F.col("place").alias("_direct"))
+    return far.join(direct, ["u", "far"], "left").where("_direct is null or _direct > known").select("u", "set_us", "far")
+
+
+def two_hop_non_neighbors(edges: DataFrame, max_neighbors: int = 100, stop_after: int = 20) -> DataFrame:
+    """Per edge: the sorted list of its two-hop set (see ``two_hop_sets``), empty where there is none.
+
+    The list is the result's format: as long as the contacts of the last expanded neighbour. Sets are worked out once for
+    all moments that share them.
+    """
+    sets = two_hop_sets(edges, max_neighbors, stop_after)
+    lists = two_hop_members(sets).groupBy("u", "set_us").agg(F.sort_array(F.collect_list("far")).alias("_list"))
+    found = edges.select("idx", "u", "i", "ts_us").join(sets.moments, ["u", "ts_us"], "left").join(lists, ["u", "set_us"], "left")
     none = F.array().cast("array<bigint>")
-    return joined.select("idx", "u", "i", "ts_us", F.coalesce(listed, none).alias("two_hop_non_neighbors"))
+    return found.select("idx", "u", "i", "ts_us", F.coalesce("_list", none).alias("two_hop_non_neighbors"))
 
 
-def two_hop_candidates(queries: DataFrame, two_hop: DataFrame) -> DataFrame:
-    """Two-hop list of each queried edge, by ``idx``."""
-    return queries.join(two_hop.select("idx", "two_hop_non_neighbors"), "idx")
+def two_hop_candidates(queries: DataFrame, sets: TwoHop) -> DataFrame:
+    """(idx, far): the two-hop nodes of each queried edge (idx, u, ts_us), one row each."""
+    asked = queries.select("idx", "u", "ts_us").join(sets.moments, ["u", "ts_us"])
+    wanted = sets.reach.join(asked.select("u", "set_us").distinct(), ["u", "set_us"], "left_semi")
+    return asked.join(two_hop_members(sets, wanted), ["u", "set_us"]).select("idx", "far")

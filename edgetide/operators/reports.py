@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgetide.functions.times import epoch_bucket
-from edgetide.operators.metrics import best_f1_threshold, confusion, predicted, ranking_summary, squash_scores
+from edgetide.operators.metrics import confusion, predicted, ranking_summary, squash_scores, sweep_report
 from edgetide.operators.splits import positives_union_negatives
-from edgetide.plans.ordered import running_totals
+from edgetide.plans.ordered import last_at_or_before, running_totals
 from edgetide.schema import WINDOW_SECONDS
 
 LINK = ["src", "dst", "ts_us"]
@@ -118,14 +118,20 @@ def extreme_predictions(scores: DataFrame, negatives: DataFrame, nodes: DataFram
     return rows
 
 
-def edge_anomaly_report(joined: DataFrame, threshold: float | None = None) -> DataFrame:
-    """Ranking metrics of ``anomaly`` and the confusion at the best-F1 threshold, or at a conformal one."""
-    table = joined.select("label", F.col("anomaly").alias("score"))
-    summary = ranking_summary(table)
-    limit = F.lit(threshold) if threshold is not None else best_f1_threshold(table).select("best_threshold").scalar()
-    marked = table.withColumn("_t", limit).withColumn("prediction", predicted("score", F.col("_t")))
-    cells = confusion(marked).select(F.struct("*")).scalar()
-    return summary.withColumn("_c", cells).select("*", "_c.*").drop("_c")
+def edge_anomaly_report(joined: DataFrame, threshold: float | None = None, levels: DataFrame | None = None) -> DataFrame:
+    """Ranking metrics of ``anomaly`` and the confusion above the best-F1 threshold, above a fixed one, or of a conformal mask.
+
+    ``levels`` (stream, batch, threshold) is a table of ``adaptive_conformal``: each row of ``joined`` (with stream and batch) is
+    held against the threshold of its own batch, or of the last earlier batch of its stream that has one; rows before
+    the first are not flagged. The share of flagged rows is then reported as ``miscoverage``.
+    """
+    if levels is None:
+        table = joined.select("label", F.col("anomaly").alias("score"))
+        return sweep_report(table, flag=None if threshold is None else F.col("score") > F.lit(threshold))
+    asked = joined.select("stream", "batch", "label", F.col("anomaly").alias("score"))
+    held = last_at_or_before(levels.select("stream", "batch", "threshold"), asked, ["stream"], "batch", ["threshold"])
+    found = sweep_report(held, flag=F.col("score") > F.col("threshold"))
+    return found.withColumn("miscoverage", (F.col("tp") + F.col("fp")) / (F.col("positives") + F.col("negatives")))
 
 
 def window_anomaly_report(scored: DataFrame, truth: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
@@ -133,14 +139,10 @@ def window_anomaly_report(scored: DataFrame, truth: DataFrame, seconds: int = WI
     anomalous windows and the confusion at the best precision/recall threshold, itself included."""
     windows = bucket_label(bucketed(truth, seconds)).join(bucket_score(bucketed(scored, seconds)), "bucket", "left")
     table = windows.select("label", (F.lit(1.0) - F.coalesce("score", F.lit(1.0))).alias("score"))
-    summary = ranking_summary(table).select("positives", "negatives", "auc", "ap")
-    best = best_f1_threshold(table, "pr").select(F.struct("best_threshold", "f1")).scalar()
-    marked = table.withColumn("_b", best).withColumn("prediction", predicted("score", F.col("_b.best_threshold"), True))
-    cells = confusion(marked).select(F.struct("tn", "fp", "fn", "tp", "precision", "recall")).scalar()
     total = F.col("positives") + F.col("negatives")
-    return summary.withColumn("_c", cells).withColumn("_b", best).select(
-        total.alias("num_windows"), (F.col("positives") / total).alias("anomaly_share"), "auc", "ap",
-        F.col("_b.best_threshold").alias("best_threshold"), F.col("_b.f1").alias("f1"), "_c.*",
+    return sweep_report(table, "pr").select(
+        total.alias("num_windows"), (F.col("positives") / total).alias("anomaly_share"), "auc", "ap", "best_threshold",
+        F.col("best_f1").alias("f1"), "tn", "fp", "fn", "tp", "precision", "recall",
     )
 
 

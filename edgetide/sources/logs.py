@@ -30,12 +30,20 @@ def selected_file(name: Column, client: str) -> Column:
     return wanted
 
 
-def read_client_logs(spark: SparkSession, folder: str, client: str) -> DataFrame:
-    """Logs of one client: whole files are skipped by name, before their lines are parsed."""
+def write_log_files(logs: DataFrame, folder: str, file: str) -> None:
+    """JSON lines in one folder per value of the column ``file``, which is not written into the lines."""
+    logs.write.mode("overwrite").partitionBy(file).json(folder)
+
+
+def read_client_logs(spark: SparkSession, folder: str, client: str, part: int = -1) -> DataFrame:
+    """Logs of one client: whole files are skipped by name, before their lines are parsed.
+
+    The name is the file's own, or with ``part`` -2 that of the folder it lies in, as of files written in parts.
+    """
     logs = (
         spark.read.schema(LOG_SCHEMA).option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(folder)
     )
-    return logs.where(selected_file(F.col("_metadata.file_name"), client))
+    return logs.where(selected_file(F.element_at(F.split("_metadata.file_path", "/"), part), client))
 
 
 def read_label_ids(spark: SparkSession, path: str) -> DataFrame:

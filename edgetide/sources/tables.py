@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +18,40 @@ def write_tables(tables: dict[str, DataFrame], folder: str, format: str = "parqu
     """One sub-folder per table; ``by`` partitions the files of tables having those columns."""
     for name, table in tables.items():
         writer = table.write.mode("overwrite").format(format)
-        if format == "csv":
-            writer = writer.option("header", True)
+        if format == "csv":  # empty and missing texts stay apart
+            writer = writer.option("header", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "")
         keys = [c for c in by if c in table.columns]
         (writer.partitionBy(*keys) if keys else writer).save(f"{folder}/{name}")
 
 
-def read_tables(spark: SparkSession, folder: str, names: Sequence[str] = GRAPH_TABLES) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+# what the graph tables hold, for formats that do not say so themselves
+GRAPH_COLUMNS = {
+    "edges": "u LONG, i LONG, ts_us LONG, label INT, idx LONG", "edge_features": "idx LONG, action_type STRING, command_line STRING",
+    "nodes": "node_id LONG, object_type STRING, path STRING", "corpus": "text STRING",
+}
+
+
+def write_graph(tables: dict[str, DataFrame], folder: str, format: str = "parquet") -> None:
+    """Graph tables of ``build_graph`` by host: one folder per host in each table. Rows are dealt to files by host and a
+    hash of the row, so a busy host is several files, and a task writes few."""
+    for name, table in tables.items():
+        spread = table.repartition("hostname", F.pmod(F.xxhash64(*[c for c in table.columns if c != "hostname"]), F.lit(16)))
+        write_tables({name: spread}, folder, format, by=("hostname",))
+
+
+def read_tables(
+    spark: SparkSession, folder: str, names: Sequence[str] = GRAPH_TABLES, format: str = "parquet", hosts: Sequence[str] | None = None
+) -> dict[str, DataFrame]:
+    """The tables of ``write_tables``; of tables by host, only the folders of ``hosts`` are read if they are given."""
+    found = {}
+    for name in names:
+        reader = spark.read.format(format)
+        if format == "csv":
+            reader = reader.option("header", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").option("multiLine", True)
+            reader = reader.option("mode", "FAILFAST").schema(f"{GRAPH_COLUMNS[name]}, hostname STRING" if hosts is not None else GRAPH_COLUMNS[name])
+        table = reader.load(f"{folder}/{name}")
+        found[name] = table if hosts is None else table.where(F.col("hostname").isin([h.lower() for h in hosts]))
+    return found
 
 
 def read_interactions_csv(spark: SparkSession, path: str, features: int) -> DataFrame:
@@ -78,3 +105,18 @@ def assert_tables_equal(left: DataFrame, right: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.greatest("_balance", F.lit(0))), F.lit(0)).alias("only_left"),
         F.coalesce(F.sum(F.greatest(-F.col("_balance"), F.lit(0))), F.lit(0)).alias("only_right"),
     )
+
+
+def compare_features(left: DataFrame, right: DataFrame, vector: str) -> DataFrame:
+    """One row on two tables' feature vectors: width, rows, smallest and largest value of each, and whether all agree.
+
+    Widths are the widest vectors'; a table without vectors has width 0 and no values.
+    """
+    facts = lambda table: table.agg(
+        F.count(vector).alias("rows"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("width"),
+        F.min(F.array_min(vector)).cast("double").alias("low"), F.max(F.array_max(vector)).cast("double").alias("high"))
+    both = facts(left).select([F.col(c).alias(f"left_{c}") for c in ("rows", "width", "low", "high")])
+    other = facts(right).agg(F.first(F.struct("rows", "width", "low", "high"))).scalar()
+    joined = both.withColumn("_o", other).select("*", *[F.col(f"_o.{c}").alias(f"right_{c}") for c in ("rows", "width", "low", "high")]).drop("_o")
+    same = [F.col(f"left_{c}").eqNullSafe(F.col(f"right_{c}")) for c in ("rows", "width", "low", "high")]
+    return joined.withColumn("equal", reduce(and_, same).cast("int"))

@@ -236,7 +236,7 @@ def test_sampler_repeats_when_pairs_run_out(spark):
 
 def test_two_hop_negatives_fall_back(spark):
     edges = spark.createDataFrame([(1, 1, 2, 10, 0), (2, 2, 3, 20, 0), (3, 1, 5, 30, 0)], EDGE)
-    found = {r.idx: r for r in negatives.two_hop_negatives(edges, neighbors.two_hop_non_neighbors(edges), edges).collect()}
+    found = {r.idx: r for r in negatives.two_hop_negatives(edges, neighbors.two_hop_sets(edges), edges).collect()}
     assert found[3].i == 3 and found[3].source == "preferred"
     assert found[1].source == "random" and found[1].i in {2, 3, 5}
 
@@ -262,7 +262,7 @@ def test_impute_unknown_tokens(spark, monkeypatch, block):
     rows = [(n, [f"w{x}" for x in rng.integers(0, 14, 12)]) for n in range(6)] + [(99, ["zz", "yy"])]
     table = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in vocabulary.items()], "token string, vec array<double>")
     nearest = textfeatures.nearest_tokens
-    monkeypatch.setattr(textfeatures, "nearest_tokens", lambda c, v, k: nearest(c, v, k, block))
+    monkeypatch.setattr(textfeatures, "nearest_tokens", lambda c, v, k: nearest(c, v, k, block, block))
     got = textfeatures.impute_unknown_tokens(spark.createDataFrame(rows, "id long, tokens array<string>"), table, 3).collect()
     everyone = np.mean(list(vocabulary.values()), axis=0)
     seen = 0

@@ -14,7 +14,7 @@ def test_names():
     from edgetide import catalog
 
     own = catalog.load()
-    assert set(own) - set(catalog.ORACLES) == {"impute_unknown_tokens", "link_classifier", "stream_adaptive_alerts"}
+    assert set(own) - set(catalog.ORACLES) == {"link_classifier"}
     assert set(own) <= set(queries) and set(catalog.ORACLES) <= set(oracles)
 
 
