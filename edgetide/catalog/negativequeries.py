@@ -12,6 +12,7 @@ from edgetide.catalog.registry import query
 from edgetide.operators import negatives as ng
 from edgetide.operators.neighbors import two_hop_sets
 from edgetide.plans.ordered import quantiles
+from edgetide.session import stored
 
 POOL = """su as (select u, row_number() over (order by u) - 1 as u_no from (select distinct u from {p})),
  si as (select i, row_number() over (order by i) - 1 as i_no from (select distinct i from {p}))"""
@@ -118,7 +119,7 @@ TWICE = """exists (select 1 from rch r join met on met.node=r.via where r.idx=h.
  select d.idx, d.u, coalesce(pick, far[n % len(far) + 1], si.i) as i, d.ts_us, case when far is not null then 'preferred' else 'random' end as source
  from d join si on si.i_no = n % (select count(*) from si)"""))
 def two_hop_negatives(spark, sf):
-    edges = transition_edges(spark, sf)
+    edges = stored(transition_edges(spark, sf))
     return ng.two_hop_negatives(edges, two_hop_sets(edges), edges)
 
 

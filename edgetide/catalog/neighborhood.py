@@ -12,6 +12,7 @@ from edgetide.functions.vectors import one_hot
 from edgetide.operators import neighbors as nb
 from edgetide.operators.events import batch_number
 from edgetide.schema import ACTIONS
+from edgetide.session import stored
 
 
 def halves(g: str) -> str:
@@ -281,12 +282,12 @@ TWO_HOP = f"""+ {halves('tr')}, met as (select node, neighbor, min(ts_us) as fir
 @query("two_hop_non_neighbors", sql("tr", body=TWO_HOP + """ select tr.idx, coalesce(string_agg(two.far, ';' order by two.far), '') as two_hop_non_neighbors
  from tr left join two using (idx) group by 1"""))
 def two_hop_non_neighbors(spark, sf):
-    found = nb.two_hop_non_neighbors(transition_edges(spark, sf))
+    found = nb.two_hop_non_neighbors(stored(transition_edges(spark, sf)))
     return found.select("idx", F.array_join("two_hop_non_neighbors", ";").alias("two_hop_non_neighbors"))
 
 
 @query("two_hop_candidates", sql("tr", body=TWO_HOP + """ select tr.idx, count(two.far) as candidates from tr left join two using (idx) group by 1"""))
 def two_hop_candidates(spark, sf):
-    edges = transition_edges(spark, sf)
+    edges = stored(transition_edges(spark, sf))
     found = nb.two_hop_candidates(edges, nb.two_hop_sets(edges)).groupBy("idx").agg(F.count("*").alias("candidates"))
     return edges.select("idx").join(found, "idx", "left").select("idx", F.coalesce("candidates", F.lit(0).cast("long")).alias("candidates"))

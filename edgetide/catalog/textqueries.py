@@ -89,10 +89,10 @@ IMPUTED = f"""with {VOCABULARY}, {TOKENS}, t as (select doc_id, unnest(tokens) a
  kn as (select doc_id, pos as near, v from t join vec using (token)),
  un as (select doc_id, pos, token from t where token not in (select token from vec)),
  el as (select un.doc_id, un.pos, unnest(range(0, {DIM})) as d, unnest(v) as x from (select *, unnest(range(pos - 5, pos + 6)) as near from un) un join kn on kn.doc_id=un.doc_id and kn.near=un.near),
- av as (select doc_id, pos, d, avg(x) as x from el group by 1,2,3), cx as (select doc_id, pos, list(x order by d) as c from av group by 1,2),
- sim as (select cx.doc_id, cx.pos, vec.token, vec.v, round(list_cosine_similarity(cx.c, vec.v), 12) as s from cx cross join vec),
- top as (select * from (select *, row_number() over (partition by doc_id, pos order by s desc, token) as r from sim) where r <= 2),
- fi as (select doc_id, pos, list_transform(list_zip(min(v) filter (r=1), min(v) filter (r=2)), lambda z: (z[1] + z[2]) / 2) as v from top group by 1,2),
+ av as (select doc_id, pos, d, avg(x) as x from el group by 1,2,3), cx as (select doc_id, pos, list(x order by d)::double[{DIM}] as c from av group by 1,2),
+ fv as (select token, v::double[{DIM}] as v from vec),
+ top as (select doc_id, pos, arg_min(fv.token, (-round(array_cosine_similarity(c, fv.v), 12), fv.token), 2) as t from cx cross join fv group by 1,2),
+ fi as (select doc_id, pos, list_transform(list_zip(a.v, b.v), lambda z: (z[1] + z[2]) / 2) as v from top join vec a on a.token=t[1] join vec b on b.token=t[2]),
  al as (select list(x order by d) as v from (select d, avg(x) as x from (select unnest(range(0, {DIM})) as d, unnest(v) as x from vec) group by 1))
  select un.doc_id, un.pos, un.token, list_aggregate(list_transform(coalesce(fi.v, al.v), lambda x: round(x * 1000000)::bigint::varchar), 'string_agg', ',') as vec
  from un left join fi using (doc_id, pos) cross join al"""
@@ -158,16 +158,16 @@ WIDTH = len(tx.NODE_FEATURE_TYPES) + DIM
 LINKS = f"""+ ev as (select node_id as node, [(object_type='PROCESS')::int::double, (object_type='FILE')::int::double] || coalesce(list_transform(embedding, lambda x: x::double), list_transform(range(0, {DIM}), lambda n: 0.0::double)) as v
   from nodes left join embeddings on vec_id = node_id - 1),
  hf as (select u as node, i as neighbor, ts_us, idx, 1 as o from tr union all select i, u, ts_us, idx, 0 from tr),
- q as (select idx as qidx, 'src' as side, u as node, i as other, ts_us as at from tr union all select idx, 'dst', i, u, ts_us from tr),
- al as (select q.*, hf.neighbor, hf.ts_us as nts, o, row_number() over (partition by qidx, side order by hf.ts_us desc, hf.idx desc, hf.neighbor desc, o desc) as r from q join hf on hf.node=q.node and hf.ts_us < q.at),
+ q as (select idx as qidx, 'src' as side, u as node, i as other, ts_us as mo from tr union all select idx, 'dst', i, u, ts_us from tr),
+ al as (select q.*, hf.neighbor, hf.ts_us as nts, o, row_number() over (partition by qidx, side order by hf.ts_us desc, hf.idx desc, hf.neighbor desc, o desc) as r from q join hf on hf.node=q.node and hf.ts_us < q.mo),
  mv as (select qidx, side, list(x order by d) as s from (select a.qidx, a.side, e.d, sum(a.c * e.x) as x from (select qidx, side, neighbor, count(*) as c from al group by all) a join (select node, unnest(range(0, {WIDTH})) as d, unnest(v) as x from ev) e on e.node=a.neighbor group by 1,2,3) group by 1,2),
  st as (select qidx, side, count(*) filter (r <= 20) as known, max(nts) as latest, count(*) as total, sum(o) as out, count(*) filter (r <= 20 and neighbor = other) as met, max(nts) filter (r <= 20 and neighbor = other) as met_at,
-  list_distinct(list(neighbor) filter (r <= 20)) as ids, {", ".join(f"avg(cos((at-nts)/1e6 * pow(10.0, -9.0 * {n} / 3))) filter (r <= 20) as w{n}" for n in range(4))} from al group by 1,2),
- f as (select q.qidx, q.side, q.at, coalesce(known, 0)::double as known, ln(1 + coalesce((q.at - latest)/1e6, 1e7)) as age, ln(1 + coalesce(total, 0)) as total, ln(1 + coalesce(out, 0)) as out, coalesce(met, 0)::double as met,
+  list_distinct(list(neighbor) filter (r <= 20)) as ids, {", ".join(f"avg(cos((mo-nts)/1e6 * pow(10.0, -9.0 * {n} / 3))) filter (r <= 20) as w{n}" for n in range(4))} from al group by 1,2),
+ f as (select q.qidx, q.side, q.mo, coalesce(known, 0)::double as known, ln(1 + coalesce((q.mo - latest)/1e6, 1e7)) as age, ln(1 + coalesce(total, 0)) as total, ln(1 + coalesce(out, 0)) as out, coalesce(met, 0)::double as met,
   met_at, coalesce(ids, []) as ids, {", ".join(f"coalesce(w{n}, 0) as w{n}" for n in range(4))}, coalesce(list_cosine_similarity(mv.s, ov.v), 0) as fit, sv.v as own
   from q left join st using (qidx, side) left join mv using (qidx, side) join ev sv on sv.node=q.node join ev ov on ov.node=q.other)
  select s.qidx as cid, {", ".join(f"round({a}.{n}, 6) as {name}_{n}" for a, name in (("s", "src"), ("d", "dst")) for n in ("known", "age", "total", "out", "fit"))},
-  s.met as met_in_src, d.met as met_in_dst, len(list_intersect(s.ids, d.ids))::double as common, round(ln(1 + coalesce((s.at - s.met_at)/1e6, 1e7)), 6) as met_ago, round(coalesce(list_cosine_similarity(s.own, d.own), 0), 6) as own_fit,
+  s.met as met_in_src, d.met as met_in_dst, len(list_intersect(s.ids, d.ids))::double as common, round(ln(1 + coalesce((s.mo - s.met_at)/1e6, 1e7)), 6) as met_ago, round(coalesce(list_cosine_similarity(s.own, d.own), 0), 6) as own_fit,
   {", ".join(f"round({a}.w{n}, 6) as {name}_wave{n}" for a, name in (("s", "src"), ("d", "dst")) for n in range(4))}
  from f s join f d on d.qidx=s.qidx and d.side='dst' where s.side='src'"""
 

@@ -433,27 +433,31 @@ def two_hop_sets(edges: DataFrame, max_neighbors: int = 100, stop_after: int = 2
     first_offers = contacts.where(F.col("place") <= stop_after + 1).select(
         F.col("node").alias("via"), F.col("neighbor").alias("far"), F.col("first_us").alias("far_us"))
     seen = near.join(first_offers, "via").select("node", "rank", "far", F.greatest("via_us", "far_us").alias("from_us"))
+    # at most ``max_neighbors`` changes a node
     stops = _stops(seen, stop_after + 1).groupBy("node", "at").agg(F.min("stop").alias("stop"))
-
-    # how many contacts a node has at a moment
-    marks = contacts.groupBy("node", (F.col("first_us") + 1).alias("at")).agg(F.max("place").alias("known"))
-    asked = edges.select(F.col("u").alias("node"), F.col("ts_us").alias("at")).distinct()
-    known = last_at_or_before(marks, asked, ["node"], "at", ["known"]).where("known is not null")
-    bounded = last_at_or_before(stops, known, ["node"], "at", ["stop"])
-    taken = bounded.withColumn("_taken", F.least("known", F.coalesce("stop", F.lit(max_neighbors).cast("long"))))
-
-    social = marks.groupBy(F.col("node").alias("via")).agg(F.max("known").alias("_n")).where("_n > 1").select("via")
-    useful = near.join(social, "via", "left_semi").select("node", "rank", "via")
-    expanded = taken.join(useful, "node").where("rank <= _taken").select(
-        F.col("node").alias("u"), "known", "_taken", "rank", F.col("via").alias("node"), "at")
-    counted = last_at_or_before(marks.withColumnRenamed("known", "offers"), expanded, ["node"], "at", ["offers"]).where("offers > 1")
-    counted = stored(counted.select("u", F.col("at").alias("ts_us"), "known", "_taken", "rank", F.col("node").alias("via"), "offers"))
+    stops = stops.groupBy(F.col("node").alias("u")).agg(F.sort_array(F.collect_list(F.struct("at", "stop"))).alias("_stops"))
+
+    marks = contacts.groupBy("node", (F.col("first_us") + 1).alias("at")).agg(F.max("place").alias("n"))
+    social = marks.groupBy(F.col("node").alias("via")).agg(F.max("n").alias("_n")).where("_n > 1").select("via")
+    useful = near.join(social, "via", "left_semi").select(F.col("node").alias("u"), "rank", "via", "via_us")
+    asked = edges.select("u", "ts_us").distinct().join(stops, "u", "left")
+    last = F.try_element_at(F.filter("_stops", lambda s: s["at"] <= F.col("ts_us")), F.lit(-1))["stop"]
+    asked = asked.select("u", "ts_us", F.coalesce(last, F.lit(max_neighbors).cast("long")).alias("_stop"))
+    expanded = stored(asked.join(useful, "u").where("rank <= _stop and via_us < ts_us").drop("via_us"))
+
+    # how many contacts a node has at a moment, asked once for sources and neighbours together
+    moments = expanded.select(F.explode(F.array("u", "via")).alias("node"), F.col("ts_us").alias("at")).distinct()
+    counts = last_at_or_before(marks, moments, ["node"], "at", ["n"])
+    of = lambda node, name: counts.select(F.col("node").alias(node), F.col("at").alias("ts_us"), F.col("n").alias(name))
+    counted = expanded.join(of("via", "offers"), ["via", "ts_us"]).where("offers > 1").join(of("u", "known"), ["u", "ts_us"])
+    counted = stored(counted.select("u", "ts_us", "known", "_stop", "rank", "via", "offers"))
     # counts only grow with time, so moments with equal counts have equal sets
-    states = counted.groupBy("u", "ts_us", "known", "_taken").agg(F.sum("offers").alias("_offered"))
-    alike = states.groupBy("u", "known", "_taken", "_offered").agg(F.min("ts_us").alias("set_us"))
-    moments = states.join(alike, ["u", "known", "_taken", "_offered"]).select("u", "ts_us", "set_us")
-    reach = counted.withColumnRenamed("ts_us", "set_us").join(alike.select("u", "set_us").distinct(), ["u", "set_us"], "left_semi")
-    return TwoHop(contacts, stored(moments), reach.drop("_taken"))
+    states = counted.groupBy("u", "ts_us", "known", "_stop").agg(F.sum("offers").alias("_offered"))
+    alike = states.groupBy("u", "known", "_stop", "_offered").agg(F.min("ts_us").alias("set_us"))
+    moments = stored(states.join(alike, ["u", "known", "_stop", "_offered"]).select("u", "ts_us", "set_us"))
+    sets = moments.where("ts_us = set_us").select("u", "ts_us")
+    reach = counted.join(sets, ["u", "ts_us"], "left_semi").withColumnRenamed("ts_us", "set_us")
+    return TwoHop(contacts, moments, reach.drop("_stop"))
 
 
 def two_hop_members(sets: TwoHop, reach: DataFrame | None = None, share: int = 100_000) -> DataFrame:
