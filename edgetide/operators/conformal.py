@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgetide.plans.ordered import last_at_or_before, last_before, next_row, running_totals
@@ -160,7 +160,9 @@ def chain_levels(summaries: DataFrame, rule: AdaptiveLevel) -> DataFrame:
                 out.append((row.stream, row.batch, at, spot, lost, row.size, level, seen, missed))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in LEVELS.split(", ")]).astype({"position": "float64"})
 
-    ordered = summaries.withColumnRenamed("_n", "n").repartition("stream").sortWithinPartitions("stream", "batch")
+    # the window makes Spark keep a stream's batches together and in order; a bare repartition may be planned away
+    in_order = Window.partitionBy("stream").orderBy("batch")
+    ordered = summaries.withColumnRenamed("_n", "n").withColumn("place", F.row_number().over(in_order))
     return ordered.mapInPandas(chain, LEVELS).withColumn("position", F.nanvl("position", F.lit(None).cast("double")))
 
 

@@ -413,7 +413,8 @@ def _stops(seen: DataFrame, need: int) -> DataFrame:
         close()
         yield pd.DataFrame(out, columns=["node", "at", "stop"])
 
-    dealt = seen.repartition("node").sortWithinPartitions("node", "rank")
+    # the window makes Spark keep a node's rows together and in order; a bare repartition may be planned away
+    dealt = seen.withColumn("_n", F.row_number().over(Window.partitionBy("node").orderBy("rank")))
     return dealt.mapInPandas(settle, "node long, at long, stop long")
 
 

@@ -19,7 +19,7 @@ def write_tables(tables: dict[str, DataFrame], folder: str, format: str = "parqu
     for name, table in tables.items():
         writer = table.write.mode("overwrite").format(format)
         if format == "csv":  # empty and missing texts stay apart
-            writer = writer.option("header", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "")
+            writer = writer.option("header", True).option("escape", '"').option("nullValue", "\\N")
         keys = [c for c in by if c in table.columns]
         (writer.partitionBy(*keys) if keys else writer).save(f"{folder}/{name}")
 
@@ -47,7 +47,7 @@ def read_tables(
     for name in names:
         reader = spark.read.format(format)
         if format == "csv":
-            reader = reader.option("header", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").option("multiLine", True)
+            reader = reader.option("header", True).option("escape", '"').option("nullValue", "\\N").option("multiLine", True)
             reader = reader.option("mode", "FAILFAST").schema(f"{GRAPH_COLUMNS[name]}, hostname STRING" if hosts is not None else GRAPH_COLUMNS[name])
         table = reader.load(f"{folder}/{name}")
         found[name] = table if hosts is None else table.where(F.col("hostname").isin([h.lower() for h in hosts]))

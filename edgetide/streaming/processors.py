@@ -16,7 +16,7 @@ from edgetide.schema import BATCH
 from edgetide.session import scratch_folder, stored
 
 OPEN = "hostname string, start_us long, edges long, labels long, first_us long, last_us long, watermark long"
-HEADS = "node long, idx long, first_us long, last_us long, source_batch long"
+HEADS = "node long, idx long, first_us long, last_us long, source_batch long, clock_us long"
 STATES = "stream string, level double, seen long, missed long"
 ALERTS = "stream string, idx long, level double, threshold double, alert int"
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -136,13 +136,14 @@ class _Recency(StatefulProcessor):
         heads = sorted((r for part in rows for r in part.itertuples(index=False)), key=lambda r: r.source_batch)
         before, out = self.last.get()[0] if self.last.exists() else None, []
         for r in heads:
-            out.append((key[0], r.idx, None if before is None else (r.first_us - before) / 1e6))
+            forgotten = before is None or (self.keep_ms is not None and r.first_us - before > self.keep_ms * 1000)
+            out.append((key[0], r.idx, None if forgotten else (r.first_us - before) / 1e6))
             before = r.last_us
         self.last.update((int(before),))
         if self.keep_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.keep_ms)
+            self.handle.registerTimer(int(heads[-1].clock_us) // 1000 + self.keep_ms)
         yield pd.DataFrame(out, columns=["node", "idx", "recency"]).astype({"recency": "float64"})
 
     def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
@@ -160,6 +161,7 @@ def ordered_heads(stream: DataFrame, folder: str) -> StreamingQuery:
     spread over many tasks; these recencies are written to ``inside``. Of each node one row goes on to ``heads``: its first
     event, which only the state can answer, and the time of its last.
     """
+    spark = stream.sparkSession
 
     def step(events: DataFrame, batch_id: int) -> None:
         rows = events.select(F.posexplode(F.array("u", "i")).alias("_side", "node"), "idx", F.unix_micros("ts").alias("ts_us"))
@@ -168,9 +170,15 @@ def ordered_heads(stream: DataFrame, folder: str) -> StreamingQuery:
         inside = placed.where("_before is not null")
         inside.select("node", "idx", ((F.col("ts_us") - F.col("_before")) / 1e6).alias("recency")).write.mode("overwrite").parquet(
             f"{folder}/inside/batch_id={batch_id}")
+        # the newest event so far: a clock that never goes back, whatever order events come in
+        clock = placed.agg(F.max("ts_us").alias("clock_us"))
+        if batch_id:
+            clock = clock.unionByName(spark.read.schema("clock_us long").parquet(f"{folder}/clock/{batch_id - 1}")).agg(F.max("clock_us").alias("clock_us"))
+        clock = stored(clock)
+        clock.write.mode("overwrite").parquet(f"{folder}/clock/{batch_id}")
         last = placed.groupBy("node").agg(F.max("ts_us").alias("last_us"))
         first = placed.where("_before is null").select("node", "idx", F.col("ts_us").alias("first_us"))
-        first.join(last, "node").withColumn("source_batch", F.lit(batch_id).cast("long")).select(*[c.split()[0] for c in HEADS.split(", ")]).write.mode(
+        first.join(last, "node").withColumn("source_batch", F.lit(batch_id).cast("long")).withColumn("clock_us", clock.scalar()).select(*[c.split()[0] for c in HEADS.split(", ")]).write.mode(
             "overwrite").parquet(f"{folder}/heads/{batch_id}")
 
     return stream.writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", f"{folder}/progress").start()
@@ -179,11 +187,13 @@ def ordered_heads(stream: DataFrame, folder: str) -> StreamingQuery:
 def head_recency(heads: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """The second half of ``node_recency``: the recency of each head, from a state of one time per node.
 
-    A timer ``keep_ms`` after a node was last touched clears its state; its next event then counts as its first.
+    With ``keep_ms`` an event that long after the node's last one counts as its first, and an event-time timer drops
+    the state of a node that long after it was touched, so the state holds nodes of recent times only.
     """
-    return heads.groupBy("node").transformWithStateInPandas(
+    timed = heads if keep_ms is None else heads.withColumn("_clock", F.timestamp_micros("clock_us")).withWatermark("_clock", "0 seconds")
+    return timed.groupBy("node").transformWithStateInPandas(
         statefulProcessor=_Recency(keep_ms), outputStructType="node long, idx long, recency double",
-        outputMode="append", timeMode="processingTime" if keep_ms else "none",
+        outputMode="append", timeMode="none" if keep_ms is None else "eventTime",
     )
 
 
