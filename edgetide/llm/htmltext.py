@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,6 +83,7 @@ def blocks_of(page: str) -> list[Block]:
     """Flat text blocks in page order. Tags that a page forgot to close end with the element around them."""
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []
+    opened = Counter()  # names on the stack: an end tag that nothing waits for costs no search
     pieces: list[str] = []
     linked, links, state = [], 0, (NONE, False)
 
@@ -96,13 +98,17 @@ def blocks_of(page: str) -> list[Block]:
 
     def pop_to(depth: int):
         nonlocal links, state
-        links -= sum(1 for n, _, _ in stack[depth:] if n == "a")
+        for n, _, _ in stack[depth:]:
+            opened[n] -= 1
+            links -= n == "a"
         if depth < len(stack):
             state = stack[depth - 1][1:] if depth else (NONE, False)
             del stack[depth:]
 
     def implied(names: tuple, stops: frozenset):
         """An element that ends where the next of its kind begins."""
+        if not any(opened[n] for n in names):
+            return
         for depth in range(len(stack) - 1, -1, -1):
             if stack[depth][0] in names:
                 pop_to(depth)
@@ -131,7 +137,7 @@ def blocks_of(page: str) -> list[Block]:
         elif name == "br":
             add(" ")
         if found.group("end"):
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[depth][0] == name:
                     pop_to(depth)
                     break
@@ -156,6 +162,7 @@ def blocks_of(page: str) -> list[Block]:
             links += 1
         if not found.group("attributes").endswith("/") or name in BLOCK:
             stack.append((name, *state))
+            opened[name] += 1
         elif name == "a":
             links -= 1
     if at < len(page):

@@ -72,3 +72,12 @@ def test_all_test_pages_keep_their_article(spark):
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S).group(1)
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?p>|</?h1>", inner)]
         assert got[r["page_id"]] == "\n\n".join(p for p in parts if p)
+
+
+def test_end_tags_without_a_start_cost_little():
+    import time
+
+    begin = time.time()
+    page = "<article>" + "<b>" * 20_000 + "</i></section>" * 20_000 + "<p>words</article>"
+    assert [b.text for b in htmltext.blocks_of(page)] == ["words"]
+    assert time.time() - begin < 5
