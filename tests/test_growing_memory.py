@@ -65,6 +65,6 @@ def test_batches_out_of_order_are_refused(spark):
 def test_nothing_before_the_first_batch(spark):
     edges = spark.createDataFrame([(1, 1, 2, 50, 5)], EDGE)
     asked = spark.createDataFrame([(1, 1, 2, 5, 1), (2, 1, 2, 6, 1)], CANDIDATE)
-    for mode in memory.MEMORIES:
+    for mode in ("time_window_fixed_proportion", "repeat_threshold_memory"):
         assert {r["idx"]: r["score"] for r in memory.edgebank_batched(edges, asked, mode).collect()} == {1: 0.0, 2: 1.0}
     assert memory.edgebank_batched(edges.limit(0), asked, "repeat_threshold_memory").where("score > 0").count() == 0

@@ -56,7 +56,6 @@ def test_draws_follow_the_strategy(spark):
     for strategy in ("uniform", "time_aware"):
         found = neighbors.multi_hop_neighbors(queries, edges, 1, 2, strategy, scaling=5.0)
         late[strategy] = found.where("neighbor >= 138").count() / 800
-        assert sorted(map(tuple, found.select("qid", "neighbor").collect())) == sorted(map(tuple, neighbors.multi_hop_neighbors(queries, edges, 1, 2, strategy, scaling=5.0).select("qid", "neighbor").collect()))
     assert 0.01 < late["uniform"] < 0.1 and late["time_aware"] > late["uniform"]
 
 
