@@ -193,8 +193,8 @@ def frequent_keys(index: LineIndex, keys: DataFrame) -> DataFrame:
     return maybe.join(exact, ["shard", "key"], "left_semi").select("key")
 
 
-def without_keys(docs: DataFrame, found: DataFrame, hits: DataFrame) -> DataFrame:
-    """``docs`` with ``cleaned`` (struct n_lines, n_dropped, kept): every line whose key is a hit is dropped.
+def without_keys(docs: DataFrame, found: DataFrame, hits: DataFrame, into: str = "cleaned") -> DataFrame:
+    """``docs`` with a column ``into`` (struct n_lines, n_dropped, kept): every line whose key is a hit is dropped.
 
     ``found`` are the occurrences of ``docs``. A null text counts as one empty line and keeps an empty text.
     """
@@ -202,8 +202,9 @@ def without_keys(docs: DataFrame, found: DataFrame, hits: DataFrame) -> DataFram
     h, taken = fresh(docs.columns, "text_hash"), fresh(docs.columns, "taken")
     left = docs.withColumn(h, F.xxhash64(whole_text("text")))
     # sides may not share names: ids of both are compared null-safely
-    right = dropped.select(F.col("doc_id").alias("_right_id"), F.col("text_hash").alias("_right_hash"), F.col("keys").alias("_right_keys"))
-    joined = left.join(right, left["doc_id"].eqNullSafe(right["_right_id"]) & (left[h] == right["_right_hash"]), "left")
+    own_id, own_hash, own_keys = (fresh([*docs.columns, h, taken], f"right_{name}") for name in ("id", "hash", "keys"))
+    right = dropped.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("keys").alias(own_keys))
+    joined = left.join(right, left["doc_id"].eqNullSafe(right[own_id]) & (left[h] == right[own_hash]), "left")
 
     @F.pandas_udf("struct<n_lines: long, n_dropped: long, kept: string>")
     def clean(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
@@ -218,25 +219,26 @@ def without_keys(docs: DataFrame, found: DataFrame, hits: DataFrame) -> DataFram
             rows.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
         return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept"])
 
-    cleaned = joined.withColumn(taken, clean(whole_text("text"), F.col("_right_keys")))
-    return cleaned.select(*docs.columns, F.col(taken).alias("cleaned"))
+    cleaned = joined.withColumn(taken, clean(whole_text("text"), F.col(own_keys)))
+    return cleaned.select(*docs.columns, F.col(taken).alias(into))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = 10) -> DataFrame:
-    """``docs`` with ``cleaned``: lines found in at least ``threshold`` documents are dropped in all of them.
+def dedup_lines(docs: DataFrame, threshold: int = 10, into: str = "cleaned") -> DataFrame:
+    """``docs`` with a column ``into``: lines found in at least ``threshold`` documents are dropped in all of them.
 
-    Lines that are empty but for blanks always stay. A column ``cleaned`` of ``docs`` is replaced. Repeated rows are
+    Lines that are empty but for blanks always stay. A column of ``docs`` with that name is replaced. Repeated rows are
     separate documents. Ids may be null or repeat; documents are told apart by id and text.
     """
-    base = docs.drop("cleaned")
+    base = docs.drop(into)
     found = stored(occurrences(base))
     index = new_index(found, threshold)
-    return without_keys(base, found, frequent_keys(index, index.refs.select("key")))
+    return without_keys(base, found, frequent_keys(index, index.refs.select("key")), into)
 
 
 def cleaned_documents(docs: DataFrame, threshold: int = 10) -> DataFrame:
     """The documents with the cleaned text in place of their own; null texts stay null, ``n_chars`` is counted anew."""
-    out = dedup_lines(docs, threshold).withColumn("text", F.when(F.col("text").isNotNull(), F.col("cleaned.kept")))
+    into = fresh(docs.columns, "cleaned")
+    out = dedup_lines(docs, threshold, into).withColumn("text", F.when(F.col("text").isNotNull(), F.col(into)["kept"]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -79,3 +79,10 @@ def test_empty_and_extra(spark):
     twice = cleaned.where("doc_id = 4").select("text", "n_chars").collect()
     assert [tuple(r) for r in twice] == [("", 0)] * 2
     assert DOCS
+
+
+def test_names_of_helper_columns_are_free(spark):
+    rows = [(n, f"own {n}\nshared", "mine", "x", "y") for n in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cleaned string, _right_id string, right_id string")
+    got = sorted(tuple(r) for r in linededup.cleaned_documents(docs, 2).collect())
+    assert got == [(n, f"own {n}", "mine", "x", "y") for n in range(3)]
