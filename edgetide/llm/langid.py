@@ -285,8 +285,9 @@ def document_languages(docs: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
-    """The documents that have a language; those without a letter (``und``) go."""
+    """The documents that have a language, with the predicted one as ``lang``; those without a letter (``und``) go."""
     found = fresh(docs.columns, "found_language")
     model = train(docs, ~held_out("doc_id", 3, 1))
     named = docs.withColumn(found, identified(F.col("text"), model))
-    return named.where(F.col(found)["lang"] != UNDETERMINED).select(*docs.columns)
+    own = [F.col(found)["lang"].alias(c) if c.lower() == "lang" else F.col(c) for c in docs.columns]
+    return named.where(F.col(found)["lang"] != UNDETERMINED).select(own)
