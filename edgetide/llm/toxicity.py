@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgetide.llm.common import held_out, sampled, small, whole_text
+from edgetide.session import stored
 
 SAMPLE = 3000  # labelled documents of each class, about, that the model is fitted on
-TOKENS = 20_000  # tokens with a score of their own, at most
 PRIOR = 0.02  # weight of the prior, as a share of all counts
 SURE = 2.5  # standard errors a token's log-odds must differ from zero to count
 DRIFT = 0.3  # taken from every token's score
@@ -33,20 +33,30 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORDS.findall(text)]
 
 
-def token_scores(counts: pd.DataFrame) -> dict[str, float]:
-    """Scores of the tokens that tell the classes apart; ``counts`` has token, toxic, other (numbers of documents)."""
-    a, b = counts["toxic"].to_numpy(float), counts["other"].to_numpy(float)
-    n_a, n_b = a.sum(), b.sum()
+@dataclass
+class Counts:
+    kept: pd.DataFrame  # token, toxic, other (numbers of documents) and score of the tokens that tell the classes apart
+    toxic: int  # all counts of the class
+    other: int
+
+
+def token_scores(counts: DataFrame) -> Counts:
+    """Scores of all tokens whose log-odds are surely not zero; ``counts`` has token, toxic, other.
+
+    Only they reach the driver. A token that is seldom seen is not sure, so each of them stands in some twenty sampled
+    documents or more.
+    """
+    totals = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.sum("other"), F.lit(0)).alias("other")).first()
+    n_a, n_b = totals["toxic"], totals["other"]
     if not n_a or not n_b:
-        return {}
-    prior = PRIOR * (a + b)
+        return Counts(pd.DataFrame({"token": [], "toxic": [], "other": [], "score": []}), n_a, n_b)
     total = PRIOR * (n_a + n_b)
-    odds = np.log((a + prior) / (n_a + total - a - prior)) - np.log((b + prior) / (n_b + total - b - prior))
-    sure = odds / np.sqrt(1 / (a + prior) + 1 / (b + prior))
-    order = np.lexsort((counts["token"], -np.abs(sure)))[:TOKENS]
-    chosen = order[np.abs(sure[order]) >= SURE]
-    scores = np.maximum(odds[chosen] - DRIFT, FLOOR)
-    return dict(zip(counts["token"].to_numpy()[chosen], scores.tolist()))
+    prior = PRIOR * (F.col("toxic") + F.col("other"))
+    a, b = F.col("toxic") + prior, F.col("other") + prior
+    odds = F.log(F.try_divide(a, F.lit(n_a + total) - a)) - F.log(F.try_divide(b, F.lit(n_b + total) - b))
+    sure = F.abs(F.col("odds")) / F.sqrt(F.try_divide(F.lit(1.0), a) + F.try_divide(F.lit(1.0), b))
+    kept = counts.withColumn("odds", odds).where(sure >= SURE).orderBy("token").toPandas()
+    return Counts(kept.assign(score=np.maximum(kept["odds"].to_numpy(float) - DRIFT, FLOOR)), n_a, n_b)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -86,14 +96,14 @@ def segments_of(words: list[str], scores: dict[str, float]) -> list[tuple[int, i
     return maximal_segments(values) if len(values) and values.max() > 0 else []
 
 
-def law(scores: dict[str, float], counts: pd.DataFrame) -> float:
+def law(counts: Counts) -> float:
     """The positive rate at which the mean of exp(rate * score) over ordinary tokens is one."""
-    other, toxic = counts["other"].to_numpy(float), counts["toxic"].to_numpy(float)
-    share = other + PRIOR * (other + toxic)
-    share /= share.sum()
-    values = np.array([scores.get(t, -DRIFT) for t in counts["token"]])
-    if values.max() <= 0:
+    kept, total = counts.kept, counts.other + PRIOR * (counts.toxic + counts.other)
+    if not len(kept) or kept["score"].max() <= 0:
         return 1.0
+    own = (kept["other"] + PRIOR * (kept["other"] + kept["toxic"])).to_numpy(float) / total
+    share = np.append(own, max(0.0, 1 - own.sum()))  # all other tokens lose the drift
+    values = np.append(kept["score"].to_numpy(float), -DRIFT)
     low, high = 0.0, 1.0
     while (share * np.exp(np.minimum(high * values, 500))).sum() < 1 and high < 64:
         high *= 2
@@ -144,10 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
             rows = [(w, 1 - y, y) for text, y in zip(batch["text"], batch["label"]) for w in set(words_of(text))]
             yield pd.DataFrame(rows, columns=["token", "other", "toxic"])
 
-    counts = texts.mapInPandas(count, "token string, other long, toxic long").groupBy("token").agg(
-        F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).orderBy("token").toPandas()
-    scores = token_scores(counts)
-    rate = law(scores, counts) if len(counts) else 1.0
+    counts = token_scores(stored(texts.mapInPandas(count, "token string, other long, toxic long").groupBy("token").agg(
+        F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))))
+    scores, rate = dict(zip(counts.kept["token"], counts.kept["score"].tolist())), law(counts)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
