@@ -1,5 +1,8 @@
 """The registered queries: names agree, and one runs end to end next to its SQL."""
 
+import glob
+import os
+
 import duckdb
 import pytest
 
@@ -23,11 +26,14 @@ def test_flagship(spark):
     assert frame.columns == ["bucket", "anomaly_score", "label"] and frame.count() > 0
 
 
-@pytest.mark.parametrize("name", ["unique_edges", "roc_auc", "bucket_score", "historical_negatives"])
+# one of each kind: sources, logs, ids, splits, paths, memories, neighbourhoods, negatives, windows, texts, metrics, conformal, reports
+@pytest.mark.parametrize("name", [
+    "unique_edges", "roc_auc", "bucket_score", "historical_negatives", "write_read_tables", "action_counts", "quantile_split",
+    "edgebank_scores_repeat_interval", "recent_neighbors", "time_shift_stats", "window_graph_size", "adaptive_conformal", "confusion"])
 def test_against_sql(spark, name):
     base = duckdb.connect()
-    for table in ("events", "lineitem", "orders"):
-        base.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
+    for file in sorted(glob.glob(f"{FOLDER}/*.parquet")):
+        base.execute(f"create view {os.path.basename(file)[:-8]} as select * from '{file}'")
     frame = entry_point.queries()[name](spark, FOLDER)
     result = base.execute(entry_point.oracle_sql()[name])
     names = [d[0] for d in result.description]
