@@ -68,3 +68,31 @@ def test_totals_next_and_as_of(spark, load):
     for r in found.collect():
         seen = [t for k, t in points if k == r.k and t <= r.t]
         assert r.p == (points[r.k, max(seen)] if seen else None)
+
+
+def moved(monkeypatch, module):
+    """Columns of every table that ``module`` stores."""
+    seen, keep = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df: seen.append(df.dtypes) or keep(df))
+    return seen
+
+
+def test_links_and_means_of_busy_nodes(spark, monkeypatch):
+    rows = [r for r in edge_rows(70, 8) if None not in r][:-1]
+    edges = spark.createDataFrame(rows, EDGE).repartition(3)
+    table = spark.createDataFrame([(n, [n * 0.5, 1.0 - n, float(n % 3)]) for n in range(1, 9)], "node long, vec array<double>")
+    links = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)] + [(900, None, 2, 9_000_000), (901, 1, None, 9_000_000), (902, 1, 2, None)],
+                                  "cid long, u long, i long, ts_us long")
+    asks = spark.createDataFrame([(n, r[1], r[3]) for n, r in enumerate(rows)], "qid long, node long, ts_us long")
+    seen = moved(monkeypatch, linkmodel)
+    got = {}
+    for busy in (2_000_000, 60):
+        monkeypatch.setattr(ordered, "BUSY", busy)
+        features = linkmodel.link_features(links, edges, table, 3, k=4).orderBy("cid").collect()
+        means = neighbors.neighbor_mean(asks, edges, table, 3, gap=5).orderBy("qid").collect()
+        got[busy] = [[x for x in r if not isinstance(x, list)] for r in features], [x for r in means for x in r.vec]
+        if busy == 2_000_000:
+            assert seen and not any(kind == "array<double>" for columns in seen for _, kind in columns)
+    for a, b in zip(got[60][0], got[2_000_000][0], strict=True):
+        assert a == pytest.approx(b)
+    assert got[60][1] == pytest.approx(got[2_000_000][1])
