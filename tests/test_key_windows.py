@@ -96,3 +96,18 @@ def test_links_and_means_of_busy_nodes(spark, monkeypatch):
     for a, b in zip(got[60][0], got[2_000_000][0], strict=True):
         assert a == pytest.approx(b)
     assert got[60][1] == pytest.approx(got[2_000_000][1])
+
+
+def test_imputed_tokens_move_as_numbers(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{n}" for n in range(12)]
+    vectors = spark.createDataFrame([(w, [rng.gauss(0, 1) for _ in range(3)]) for w in words], "token string, vec array<double>")
+    rows = [(n % 9 if n % 4 else None, [rng.choice([*words, "?", "!", "x"]) for _ in range(rng.randrange(30))]) for n in range(14)] + [(50, ["?"] * 9), (51, None)]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>")
+    seen, got = moved(monkeypatch, textfeatures), []
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(textfeatures, "BROADCAST_NUMBERS", most)
+        found = textfeatures.impute_unknown_tokens(docs, vectors, 3).collect()
+        got.append(sorted(((str(r.id), r.pos, r.token, [round(x, 9) for x in r.vec]) for r in found)))
+    assert got[0] == got[1] and len(got[0]) == sum(t in "?!x" for _, tokens in rows for t in tokens or [])
+    assert seen and not any("double" in kind for columns in seen for _, kind in columns)
