@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from edgetide.catalog.fixtures import flat_events, raw_logs, r6, sql, table
 from edgetide.catalog.registry import query
 from edgetide.functions.times import epoch_bucket
-from edgetide.functions.vectors import zeros
 from edgetide.operators import windows as wn
 from edgetide.operators.textfeatures import mean_token_vector
 from edgetide.plans.ordered import row_numbers
-from edgetide.session import stored
+from edgetide.session import finer, stored
 from edgetide.schema import ACTIONS, NODE_TYPES
 
 DAY = 24 * 60
@@ -40,8 +39,8 @@ def windowed(spark, sf):
         "hostname", "ts_us", "ord", "id", F.col("actor_id").alias("src"),
         F.replace("object_id", F.lit("o"), F.lit("p")).alias("dst"), kind.alias("dst_type"), "action_type", bad.alias("label"),
     )
-    # the graph is built once; every feature below reads it several times
-    return stored(wn.drop_type_mismatch(wn.window_edges(rows, DAY)))
+    # records are parsed once and the graph is built once; every feature below reads it several times
+    return stored(wn.drop_type_mismatch(stored(wn.window_edges(rows, DAY))))
 
 
 @query("drop_type_mismatch", sql("logs", body=WINDOW_SQL + " select hostname, window_us, id, dst_type from we"))
@@ -192,10 +191,10 @@ def process_text_encoding(spark, sf):
     # equal texts are encoded once
     texts = stored(rows.select(F.explode(F.array(*parts)).alias("text")).where("text is not null").distinct())
     tokens = texts.select(F.col("text").alias("id"), F.split(F.lower("text"), "[^a-z0-9]+").alias("tokens"))
-    encoded = stored(mean_token_vector(tokens, stored(word_vectors(spark, sf, texts, 64)), 64))
-    for part, name in zip(parts, ("image_vec", "parent_vec", "command_vec")):
-        rows = rows.join(encoded.select(F.col("id").alias(part), F.col("vec").alias(name)), part, "left").withColumn(name, F.coalesce(name, zeros(64)))
-    found = wn.process_text_encoding(rows, 64).select(*wn.KEY, F.posexplode("encoding").alias("pos", "value"))
+    vocabulary = stored(word_vectors(spark, sf, texts, 64))
+    with finer(spark, 10 * texts.count()):
+        encoded = stored(mean_token_vector(tokens, vocabulary, 64)).withColumnRenamed("id", "text")
+    found = wn.process_text_encoding(rows, 64, encoded).select(*wn.KEY, F.posexplode("encoding").alias("pos", "value"))
     return found.withColumn("value", r6("value"))
 
 

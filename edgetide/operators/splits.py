@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from edgetide.operators.logstats import QUARTILES
 from edgetide.plans.ordered import quantiles
 from edgetide.plans.sampling import smallest_digests
+from edgetide.session import finer, stored
 
 
 def time_split(ts="ts_us", *, train_start, val_start, test_start, test_end) -> Column:
@@ -139,7 +140,7 @@ def split_stats(edges: DataFrame) -> DataFrame:
 def node_stats(edges: DataFrame) -> DataFrame:
     """Per (split, node): edges as source, as destination, both, distinct times and time span.
 
-    Counts are first folded per (node, time), so a node's many edges reach its final row pre-aggregated.
+    Counts are first folded per (node, time), so a node's many edges reach its final row pre-aggregated. The result is stored.
     """
     sides = F.explode(F.array(
         F.struct(F.col("u").alias("node"), F.lit(1).alias("s"), F.lit(0).alias("d")),
@@ -147,10 +148,13 @@ def node_stats(edges: DataFrame) -> DataFrame:
     ))
     rows = edges.select("split", "ts_us", sides.alias("_x")).select("split", "ts_us", "_x.*")
     moments = rows.groupBy("split", "node", "ts_us").agg(F.sum("s").alias("s"), F.sum("d").alias("d"))
-    return moments.groupBy("split", "node").agg(
+    stats = moments.groupBy("split", "node").agg(
         F.sum("s").alias("src_edges"), F.sum("d").alias("dst_edges"), F.sum(F.col("s") + F.col("d")).alias("total"),
         F.count("*").alias("distinct_ts"), (F.max("ts_us") - F.min("ts_us")).alias("span_us"),
     )
+    # a moment is ten times larger in a task's memory than in the shuffle
+    with finer(edges.sparkSession, 2 * edges.count()):
+        return stored(stats)
 
 
 def metric_distribution(stats: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgetide.functions.codes import parent_child_user, sid_histogram
 from edgetide.functions.times import floor_us
-from edgetide.functions.vectors import mean_by_position, zeros
+from edgetide.functions.vectors import mean_by_position, weighted_mean_by_position, zeros
 from edgetide.operators.events import first_non_null
 from edgetide.schema import ACTIONS, END_ACTIONS, NODE_TYPES, START_ACTIONS
 
@@ -69,17 +69,25 @@ def window_edges(events: DataFrame, minutes: int = 15) -> DataFrame:
 
 
 def drop_type_mismatch(edges: DataFrame) -> DataFrame:
-    """An id keeps the first type it has in a window; events naming it with another type are dropped."""
+    """An id keeps the first type it has in a window; events naming it with another type are dropped.
+
+    Places are folded per id and type first, and only the types that an id does not keep meet the events.
+    """
     named = F.explode(F.array(
         F.struct(F.col("src").alias("node"), F.col("src_type").alias("type"), F.lit(0).alias("role")),
         F.struct(F.col("dst").alias("node"), F.col("dst_type").alias("type"), F.lit(1).alias("role")),
     ))
-    first = edges.select(*KEY, "ord", named.alias("_n")).groupBy(*KEY, F.col("_n.node").alias("node")).agg(
-        F.min_by(F.col("_n.type"), F.struct("ord", "_n.role")).alias("type")
-    )
+    # a missing place comes before all others, as in the order of structs
+    places = edges.select(*KEY, "ord", named.alias("_n")).select(*KEY, "ord", "_n.*").groupBy(*KEY, "node", "type", "role").agg(
+        F.min("ord").alias("_ord"), F.max(F.col("ord").isNull().cast("int")).alias("_none"))
+    place = F.struct(F.when(F.col("_none") == 0, F.col("_ord")).alias("ord"), "role")
+    types = F.collect_set("type").alias("types")
+    kept = places.groupBy(*KEY, "node").agg(F.min_by("type", place).alias("kept"), types)
+    lost = kept.select(*KEY, "node", "kept", F.explode("types").alias("type")).where("not type <=> kept")
     for side in ("src", "dst"):
-        own = first.select(*KEY, F.col("node").alias(side), F.col("type").alias(f"{side}_type"))
-        edges = edges.join(own, [*KEY, side, f"{side}_type"], "left_semi")
+        named_by = [*KEY, side, f"{side}_type"]
+        other = lost.select(*KEY, F.col("node").alias(side), F.col("type").alias(f"{side}_type"))
+        edges = edges.dropna(subset=named_by).join(other, named_by, "left_anti")
     return edges
 
 
@@ -242,16 +250,26 @@ def window_encoding(edges: DataFrame, nodes: DataFrame, level: str = "node", sel
     return joined.select(*key, F.concat(real("frequencies"), real("degrees"), real("life"), real("lifetimes")).alias("encoding"))
 
 
-def process_text_encoding(processes: DataFrame, dim: int) -> DataFrame:
+def process_text_encoding(processes: DataFrame, dim: int, vectors: DataFrame | None = None) -> DataFrame:
     """Per window: mean image, parent and command vectors, account histogram and parent/child counts.
 
-    ``processes``: window key, image_vec, parent_vec, command_vec, sid, image_path, parent_image_path.
+    ``processes``: window key, sid, image_path, parent_image_path and either image_vec, parent_vec, command_vec or, with ``vectors``
+    (``text``, ``vec``, a row per text), command_line. A text's vector then meets the number of its rows in a window instead of the
+    rows; a text without a vector counts as zeros.
     """
-    means = [mean_by_position(c, dim) for c in ("image_vec", "parent_vec", "command_vec")]
     counts = [sid_histogram("sid"), parent_child_user("parent_image_path", "image_path")]
-    return processes.groupBy(*KEY).agg(
-        F.concat(*means, *[c.cast("array<double>") for c in counts]).alias("encoding")
-    )
+    numbers = F.concat(*[c.cast("array<double>") for c in counts])
+    if vectors is None:
+        means = [mean_by_position(c, dim) for c in ("image_vec", "parent_vec", "command_vec")]
+        return processes.groupBy(*KEY).agg(F.concat(*means, numbers).alias("encoding"))
+    texts = ("image_path", "parent_image_path", "command_line")
+    part = F.explode(F.array(*[F.struct(F.lit(n).alias("part"), F.col(c).alias("text")) for n, c in enumerate(texts)]))
+    folded = processes.select(*KEY, part.alias("_p")).select(*KEY, "_p.*").groupBy(*KEY, "part", "text").agg(F.count("*").alias("n"))
+    met = folded.join(vectors.select("text", "vec"), "text", "left").withColumn("vec", F.coalesce("vec", zeros(dim)))
+    means = met.groupBy(*KEY, "part").agg(weighted_mean_by_position("vec", "n", dim).alias("_mean"))
+    tall = means.unionByName(processes.groupBy(*KEY).agg(numbers.alias("_mean")).withColumn("part", F.lit(len(texts))))
+    parts = [F.first(F.when(F.col("part") == n, F.col("_mean")), ignorenulls=True) for n in range(len(texts) + 1)]
+    return tall.groupBy(*KEY).agg(F.concat(*parts).alias("encoding"))
 
 
 def attach_window_features(edges: DataFrame, features: DataFrame, dim: int) -> DataFrame:
