@@ -62,3 +62,11 @@ def small(rows: DataFrame, most: int = 500_000) -> DataFrame:
     For narrow rows only: ids, hashes and counts.
     """
     return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with a hint to meet others in a shuffle, for tables that grow with the input.
+
+    Spark sizes a table by its files, or by its rows before an explode, and may send one of many times that size through the driver.
+    """
+    return rows.hint("merge")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgetide.llm.common import whole_text
+from edgetide.llm.common import apart, whole_text
 from edgetide.session import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,11 +74,11 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     forms = coded.select("form").distinct()
     variants = forms.select(F.xxhash64("form").alias("a"), F.explode(neighbourhood(F.col("form"), symbols)).alias("v"))
     variants = variants.select("a", F.xxhash64("v").alias("b"))
-    met = variants.join(forms.select(F.xxhash64("form").alias("b")).distinct(), "b")
+    met = variants.join(apart(forms.select(F.xxhash64("form").alias("b")).distinct()), "b")
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     keyed = coded.select(F.xxhash64("form").alias("a"), "word", "n")
     others = keyed.select(F.col("a").alias("b"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    pairs = met.join(keyed, "a").join(others, "b").where("a <> b or word < other")
+    pairs = met.join(apart(keyed), "a").join(apart(others), "b").where("a <> b or word < other")
     return pairs.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
 
 
@@ -90,7 +90,7 @@ def roots(links: DataFrame) -> DataFrame:
     now = stored(links.select("word", F.col("form").alias("root")))
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        now = stored(now.select("word", "root").join(ahead, "root", "left").select(
+        now = stored(now.select("word", "root").join(apart(ahead), "root", "left").select(
             "word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         if now.where("moved").isEmpty():
             return now.select("word", "root")
@@ -111,9 +111,9 @@ def spelling_variants(docs: DataFrame, min_length: int = 7, min_count: int = 2,
         F.struct(F.col("other").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")))).alias("e")
     best = pairs.select(ends).select("e.*").groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
-    known = words.join(best, "word", "left").select(
+    known = words.join(apart(best), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         F.when(-F.col("best.minus") >= F.col("n") * ratio, F.col("best")).alias("best"))
     known = stored(known.select("word", F.col("best.near").alias("form"), "n", "n_near", (-F.col("best.minus")).alias("form_n")))
-    found = known.join(roots(known.where("form is not null")), "word", "left")
+    found = known.join(apart(roots(known.where("form is not null"))), "word", "left")
     return found.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
