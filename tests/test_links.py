@@ -154,7 +154,9 @@ def test_sums_of_vectors_are_not_sorted(spark):
     edges = spark.createDataFrame([(1, 1, 2, 10), (2, 2, 3, 20)], EDGE)
     table = spark.createDataFrame([(1, [1.0, 2.0])], "node long, vec array<double>")
     asks = spark.createDataFrame([(1, 30, 7)], "node long, ts_us long, x int")
+    table = linkmodel.numbered_vectors(table.union(table))
     found = linkmodel._near_states(asks, linkmodel._half_edges(edges), table, 2, 3)
+    assert [(r.total, r.sums) for r in linkmodel._near_states(asks.withColumn("node", F.lit(2).cast("long")), linkmodel._half_edges(edges), table, 2, 3).collect()] == [(3, [2.0, 4.0])]
     plan = found._jdf.queryExecution().executedPlan().toString()
     top = plan[:plan.index("BroadcastHashJoin")]
     assert "Window" in top and "Sort" not in top
